@@ -7,9 +7,10 @@ candidates. The number of bands follows from the threshold: a pair at the thresh
 below 1e-6, more similar pairs far less often.
 
 Candidates in a bucket are not emitted as all pairs. Round one proposes to each member its best partner by sketch
-agreement. After those links are verified on the full sets and merged, round two proposes every pair of a bucket
-that still lies in different groups and whose sketch agreement is within 4.5 standard deviations of the threshold.
-Buckets over BLOCK members are cut into blocks and compared block against block, so no task holds a whole bucket.
+agreement. After those links are verified on the full sets and merged, round two looks, inside the task, at every pair
+of a bucket that still lies in different groups and whose sketch agreement is at most 4.5 standard deviations below the
+threshold, verifies it on the full sets, and emits links only. Buckets over BLOCK members are cut into blocks and
+compared block against block, so no task holds a whole bucket.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from ._kernels import U, mix, pack, shingle_sets, text_bytes, unpack
 from .components import connected_components
 
 ROWS = 5
-BLOCK = 1024
+BLOCK = 512
 
 
 def bands_for(threshold: float, miss: float = 1e-6) -> int:
@@ -92,8 +93,27 @@ def _first_pass(t: int, bands: int, lower: bool):
     return run
 
 
-def _propose(least: float, best_only: bool):
-    """Pairs of one block of a bucket that lie in different groups and agree in at least `least` of the coordinates."""
+def _partners(comp, part, sig, i, least):
+    """Rows of a block that may pair with row i: in another group, in the other part if there are two, alike enough by sketch."""
+    import numpy as np
+
+    ok = comp != comp[i]
+    if part.min() != part.max():
+        ok &= part != part[i]
+    j = np.flatnonzero(ok)
+    s = ((sig[j] == sig[i]).mean(axis=1) - 1 / 256) / (1 - 1 / 256) if len(j) else np.zeros(0)
+    return j[s >= least], s[s >= least]
+
+
+def _columns(g, *names):
+    import numpy as np
+
+    n = g.num_rows
+    return [np.frombuffer(b"".join(g.column(c).to_pylist()), np.uint8).reshape(n, -1) if c == "sig" else g.column(c).to_numpy() for c in names]
+
+
+def _best(least: float):
+    """For each row of a block its best partner, as a pair."""
 
     def run(batches):
         import numpy as np
@@ -102,31 +122,83 @@ def _propose(least: float, best_only: bool):
         for _, g in grouped(batches, "block"):
             if g.num_rows < 2:
                 continue
-            ids, comp, size = (g.column(c).to_numpy() for c in ("id", "comp", "n_shingles"))
-            part = g.column("part").to_numpy()
-            sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
-            out_a, out_b, out_s = [], [], []
+            ids, comp, part, sig = _columns(g, "id", "comp", "part", "sig")
+            out = []
             for i in range(len(ids)):
-                ok = (comp != comp[i]) & ((part != part[i]) | ((part == part.min()) & (part == part.max())))
-                if not best_only:
-                    ok &= ids > ids[i]
-                j = np.flatnonzero(ok)
-                if not len(j):
-                    continue
-                s = (sig[j] == sig[i]).mean(axis=1)
-                s = (s - 1 / 256) / (1 - 1 / 256)
-                good = s >= least
-                if best_only and good.any():
+                j, s = _partners(comp, part, sig, i, least)
+                if len(j):
                     k = int(np.lexsort((ids[j], -s))[0])
-                    out_a.append(ids[i])
-                    out_b.append(ids[j[k]])
-                    out_s.append(s[k])
-                elif not best_only:
-                    j = j[good]
-                    out_a += [ids[i]] * len(j)
-                    out_b += ids[j].tolist()
-                    out_s += s[good].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_s, pa.float64())], names=["a", "b", "s"])
+                    out.append((ids[i], ids[j[k]], s[k]))
+            cols = list(zip(*out)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["a", "b", "s"])
+
+    return run
+
+
+def _mark(least: float):
+    """The rows of each block that have any partner."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for _, g in grouped(batches, "block"):
+            if g.num_rows < 2:
+                continue
+            comp, part, sig = _columns(g, "comp", "part", "sig")
+            has = pa.array(np.array([len(_partners(comp, part, sig, i, least)[0]) > 0 for i in range(g.num_rows)]))
+            yield from g.select(["block", "band", "id", "comp", "part"]).filter(has).combine_chunks().to_batches()
+
+    return run
+
+
+def _link(least: float, percent: int):
+    """Verified links of each block between groups that no link of the block has joined yet.
+
+    A pair is looked at in the first band that both share, and there only.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for _, g in grouped(batches, "block"):
+            if g.num_rows < 2:
+                continue
+            ids, comp, part, sig = _columns(g, "id", "comp", "part", "sig")
+            band = g.column("band")[0].as_py()
+            bands = np.array(g.column("bands").to_pylist(), dtype=np.int64)
+            sets = [unpack(x) for x in g.column("members").to_pylist()]
+            pairs = []
+            for i in range(len(ids)):
+                j, s = _partners(comp, part, sig, i, least)
+                later = ids[j] > ids[i]
+                j, s = j[later], s[later]
+                if len(j):
+                    first = (bands[j] == bands[i]).argmax(axis=1) == band
+                    pairs += [(-x, i, y) for x, y in zip(s[first].tolist(), j[first].tolist())]
+            root = {c: c for c in comp.tolist()}
+
+            def find(c):
+                while root[c] != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            out = []
+            for _, i, j in sorted(pairs):
+                a, b = find(int(comp[i])), find(int(comp[j]))
+                if a == b:
+                    continue
+                x, y = len(sets[i]), len(sets[j])
+                if 100 * min(x, y) < percent * max(x, y):
+                    continue
+                both = x + y - len(np.union1d(sets[i], sets[j]))
+                if 100 * both >= percent * (x + y - both):
+                    root[max(a, b)] = min(a, b)
+                    out.append((ids[i], ids[j]))
+            cols = list(zip(*out)) or [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -188,9 +260,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, lower: bool = True)
     classes = materialize(
         sk.filter("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n_shingles", "sig", "bands"), "doc_id").alias("v")).select("set_key", "id", "v.*"), "classes"
     )
-    keyed = classes.select("id", F.explode("bands").alias("key"))
+    keyed = classes.select("id", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key", "m")
-    members = materialize(keyed.join(shared, "key").select("key", "id", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")), "members")
+    members = materialize(keyed.join(shared, "key").select("key", "band", "id", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")), "members")
     sigs = classes.select("id", "set_key", "n_shingles", "sig")
     wanted = members.select("id").distinct().join(sigs.select("id", "set_key"), "id")
     sets = docs.join(wanted.select(F.col("id").alias("doc_id"), "set_key"), "doc_id").select("doc_id", "text").mapInArrow(_sets(lower), "id long, found binary, members binary")
@@ -198,7 +270,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, lower: bool = True)
 
     least = threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / t)
 
-    def proposals(comp: DataFrame | None, best_only: bool) -> DataFrame:
+    def blocks(comp: DataFrame | None) -> DataFrame:
         m = members
         if comp is not None:
             m = m.join(comp.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -209,21 +281,23 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, lower: bool = True)
         m = m.withColumn("part", F.pmod(F.xxhash64("id", "key"), F.col("nb").cast("long")).cast("int"))
         m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         # Blocks of one bucket meet pairwise: (i, j) holds the members of both.
-        m = m.withColumn("block", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
-        m = m.join(sigs.drop("set_key"), "id").repartition("block").sortWithinPartitions("block", "id")
-        pairs = m.select("block", "id", "comp", "part", "n_shingles", "sig").mapInArrow(_propose(least, best_only), "a long, b long, s double")
-        if best_only:
-            pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("s", -F.col("b"))).alias("b"))
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
-        both = left.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
-        return both.mapInArrow(_verify(percent), "a long, b long")
-
-    first = materialize(verified(proposals(None, True)), "links")
+        return m.withColumn("block", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
+
+    def sorted_blocks(m: DataFrame) -> DataFrame:
+        return m.repartition("block").sortWithinPartitions("block", "id")
+
+    best = sorted_blocks(blocks(None).join(sigs.drop("set_key"), "id").select("block", "id", "comp", "part", "sig")).mapInArrow(_best(least), "a long, b long, s double")
+    best = best.groupBy("a").agg(F.max_by("b", F.struct("s", -F.col("b"))).alias("b"))
+    pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
+    both = left.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
+    first = materialize(both.mapInArrow(_verify(percent), "a long, b long"), "links")
     comp = materialize(connected_components(first), "comp")
-    second = materialize(verified(proposals(comp, False)), "links")
+
+    # The rest: all pairs of a bucket that lie in different groups, verified where they meet; only links leave the task.
+    marked = sorted_blocks(blocks(comp).join(sigs.drop("set_key"), "id").select("block", "band", "id", "comp", "part", "sig")).mapInArrow(_mark(least), "block long, band int, id long, comp long, part int")
+    full = materialize(marked, "marked").join(classes.select("id", "sig", "bands"), "id").join(sets, "id")
+    second = materialize(sorted_blocks(full.select("block", "band", "id", "comp", "part", "sig", "bands", "members")).mapInArrow(_link(least, percent), "a long, b long"), "links")
     if not second.isEmpty():
         comp = materialize(connected_components(first.unionByName(second)), "comp")
     discard(sets)
