@@ -47,6 +47,13 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """Marks df for broadcast only if it was counted and holds no more than `rows` rows of a few bytes; else it is shuffled."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def slices(batches, column: str, limit: int = SLICE_BYTES):
     """Cuts record batches into runs of rows whose texts hold about `limit` bytes (one row at least)."""
     for batch in batches:

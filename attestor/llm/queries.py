@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from . import language_id, quality, toxicity
 from ._common import materialize
+from .chat_queries import OP3_SQL, op3_chat_formatting
+from .decontaminate import contamination
 from .fingerprints import fingerprints
+from .line_dedup import line_dedup
 from .minhash_dedup import near_duplicates
 from .mixing import mix_sources
 from .substring_dedup import substring_dedup
@@ -17,6 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir, "documents"), threshold=0.8).select("doc_id", "n_lines", "n_removed", F.length("kept").cast("long").alias("kept_chars"), "kept_sha256")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
@@ -47,17 +54,24 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_hits", "n_words")
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("row_key")
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_chat_formatting": op3_chat_formatting,
     "op4_language_id": op4_language_id,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_mixing_sources": op7_mixing_sources,
     "op8_toxicity": op8_toxicity,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": OP3_SQL}

@@ -183,40 +183,61 @@ class Lexicon:
         return a
 
 
+def score_texts(lexicon: Lexicon, auto, texts):
+    """Arrays (hits, words, normalised weight, score) of some texts."""
+    import numpy as np
+
+    big, starts = fold(texts)
+    n = len(texts)
+    hits, weight = np.zeros(n, np.int64), np.zeros(n)
+    space = np.concatenate([[0], np.cumsum(np.frombuffer(big.encode("utf-32-le"), np.uint32) == 32)])
+    words = np.maximum(0, space[starts[1:]] - space[starts[:-1]] - [big[e - 1] == " " if e else False for e in starts[1:]])
+    best, cut = {}, []
+    for end, (size, w) in auto.iter(big) if len(auto) else ():
+        begin = end - size + 1
+        if w is None:
+            cut.append((begin - 1, end))
+        elif best.get(begin, 0) < w:
+            # A word counts once, by its strongest pattern.
+            best[begin] = w
+    for lo, hi in cut:
+        for b in range(lo, hi + 1):
+            best.pop(b, None)
+    if best:
+        at = np.searchsorted(starts, np.array(list(best)), side="right") - 1
+        np.add.at(hits, at, 1)
+        np.add.at(weight, at, list(best.values()))
+    norm = weight / (1 + words / LENGTH)
+    return hits, words.astype(np.int64), norm, 1 / (1 + np.exp(-np.clip(lexicon.bias + lexicon.slope * norm, -40, 40)))
+
+
 def _scores(lexicon: Lexicon):
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         auto = lexicon.automaton()
         for batch in slices(batches, "text"):
-            big, starts = fold(batch.column(1).to_pylist())
-            n = batch.num_rows
-            hits, weight = np.zeros(n, np.int64), np.zeros(n)
-            space = np.concatenate([[0], np.cumsum(np.frombuffer(big.encode("utf-32-le"), np.uint32) == 32)])
-            words = np.maximum(0, space[starts[1:]] - space[starts[:-1]] - [big[e - 1] == " " if e else False for e in starts[1:]])
-            best, cut = {}, []
-            for end, (size, w) in auto.iter(big) if len(auto) else ():
-                begin = end - size + 1
-                if w is None:
-                    cut.append((begin - 1, end))
-                elif best.get(begin, 0) < w:
-                    # A word counts once, by its strongest pattern.
-                    best[begin] = w
-            for lo, hi in cut:
-                for b in range(lo, hi + 1):
-                    best.pop(b, None)
-            if best:
-                at = np.searchsorted(starts, np.array(list(best)), side="right") - 1
-                np.add.at(hits, at, 1)
-                np.add.at(weight, at, list(best.values()))
-            norm = weight / (1 + words / LENGTH)
-            score = 1 / (1 + np.exp(-np.clip(lexicon.bias + lexicon.slope * norm, -40, 40)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits), pa.array(words.astype(np.int64)), pa.array(norm), pa.array(score)], names=["doc_id", "n_hits", "n_words", "weight", "score"])
+            found = score_texts(lexicon, auto, batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in found)], names=["doc_id", "n_hits", "n_words", "weight", "score"])
 
     return run
 
 
+def reject(docs: DataFrame, lexicon: Lexicon, limit: float) -> DataFrame:
+    """The rows of docs(..., text) whose score is below the limit, all columns as they were."""
+    tune(docs.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        auto = lexicon.automaton()
+        for batch in slices(batches, "text"):
+            score = score_texts(lexicon, auto, batch.column(batch.schema.get_field_index("text")).to_pylist())[3]
+            yield batch.filter(pa.array(score < limit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learn(texts: DataFrame, terms: int = TERMS) -> Lexicon:
     """A lexicon from texts(text, label 0/1); without both labels it is empty. The driver sees at most `terms` terms.
 
