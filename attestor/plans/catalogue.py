@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+MODULES = ("text", "rules", "joins")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+for _name in MODULES:
+    _r = import_module(f"attestor.plans.{_name}").R
+    QUERIES.update(_r.queries)
+    ORACLE_SQL.update(_r.sql)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count("*").alias("n"))
+    return QUERIES["blocks_explode"](spark, sf_dir)
