@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import discard, materialize, shared_dir, slices, tune
+from ._common import discard, materialize, packed, release, shared_dir, slices, tune, unpacked
 from ._kernels import U, mix, span_hashes, text_bytes, windows, word_spans, _powers
 
 SPAN = 50
@@ -102,9 +102,9 @@ def _window_rows(span: int):
         import numpy as np
         import pyarrow as pa
 
-        for batch in slices(batches, "text"):
+        for batch, texts in unpacked(batches):
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            buf, off = text_bytes(col["text"])
+            buf, off = text_bytes(pa.array([t.decode() for t in texts], pa.large_string()))
             s, e, counts = word_spans(buf, off)
             h, _, ws = windows(span_hashes(buf, s, e), counts, span, seed=23)
             data, h = buf.tobytes(), h.view(np.int64)
@@ -188,7 +188,7 @@ class FingerprintIndex:
         torn = owners.groupBy("anchor").agg(F.count("*").alias("n"), F.min("owner").alias("lo"), F.max("owner").alias("hi"), F.max("fresh").alias("new")).filter("n > 1 and lo < hi and new")
         parts = owners.join(torn.select("anchor"), "anchor", "left_semi")
         parts = parts.groupBy(F.col("owner").alias("doc_id"), "sha").agg(F.max("fresh").alias("fresh"), F.collect_list(F.struct("anchor", "first", "last")).alias("runs"))
-        wins = docs.select("doc_id", "text").join(parts, "doc_id").select("doc_id", "text", "sha", "fresh", "runs")
+        wins = packed(docs).join(parts, "doc_id").select("doc_id", "z", "sha", "fresh", "runs")
         wins = materialize(wins.mapInArrow(_window_rows(self.span), "anchor long, h long, doc_id long, at int, fresh boolean, sha string"), "windows")
         first = wins.groupBy("anchor", "h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor", "h", "lo")
         single = wins.filter("fresh").join(first, ["anchor", "h"]).filter("lo < doc_id").select("doc_id", "sha", F.col("at").alias("start"), (F.col("at") + self.span).alias("stop"))
@@ -209,11 +209,11 @@ def _apply(keep_text: bool):
         import numpy as np
         import pyarrow as pa
 
-        for batch in slices(batches, "text"):
-            ids, texts, shas, spans = (batch.column(i).to_pylist() for i in range(4))
+        for batch, texts in unpacked(batches):
+            ids, shas, spans = (batch.column(i).to_pylist() for i in (0, 2, 3))
             out = []
             for d, text, sha, cut in zip(ids, texts, shas, spans):
-                words = (text or "").encode().split()
+                words = text.split()
                 if hashlib.sha256(b" ".join(words)).hexdigest() != sha:
                     continue
                 mark = np.zeros(len(words) + 1, np.int64)
@@ -247,9 +247,10 @@ def substring_dedup(docs: DataFrame, batches: int = 2, span: int = SPAN, gram: i
         within = lambda df: df.filter((F.lit(True) if lo is None else F.col("doc_id") > lo) & (F.lit(True) if hi is None else F.col("doc_id") <= hi))
         spans = index.add(within(scanned), docs if hi is None else docs.filter(F.col("doc_id") <= hi))
         found = spans if found is None else found.unionByName(spans)
+        release(spark)
     index.close()
     cuts = found.distinct().groupBy("doc_id", "sha").agg(F.collect_list(F.struct("start", "stop")).alias("cut"))
-    done = docs.join(cuts, "doc_id").select("doc_id", "text", "sha", "cut").mapInArrow(_apply(keep_text), "doc_id long, sha string, n_removed long, kept_sha256 string, kept string")
+    done = packed(docs).join(cuts, "doc_id").select("doc_id", "z", "sha", "cut").mapInArrow(_apply(keep_text), "doc_id long, sha string, n_removed long, kept_sha256 string, kept string")
     done = (done if keep_text else done.drop("kept")).dropDuplicates(["doc_id", "sha"])
     out = scanned.select("doc_id", "n_words", "sha").join(done, ["doc_id", "sha"], "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), *(["kept"] if keep_text else []))
