@@ -64,10 +64,10 @@ def vesting(spark, d):
     return p.select("o_orderkey", F.col("m").alias("months"), D.vested(F.col("money").cast("double"), F.col("m"), 6, 24).cast("double").alias("vested"))
 
 
-@R.add(f"WITH {PAIRS} SELECT o_orderkey, round(money::DOUBLE * 0.05 * (b - a) / 365, 2) AS act365, round(money::DOUBLE * 0.05 * (b - a) / 360, 2) AS act360, round(money::DOUBLE * 0.12 * greatest(0, (b - a) - 30) / 365, 2) AS penalty FROM p")
+@R.add(f"WITH {PAIRS} SELECT o_orderkey, round(money::DOUBLE * 0.05 * (b - a) / 365, 8) AS act365, round(money::DOUBLE * 0.05 * (b - a) / 360, 8) AS act360, round(money::DOUBLE * 0.12 * greatest(0, (b - a) - 30) / 365, 8) AS penalty FROM p")
 def simple_interest(spark, d):
     days, m = F.datediff("b", "a"), F.col("money").cast("double")
-    return pairs(spark, d).select("o_orderkey", F.round(D.simple_interest(m, F.lit(0.05), days), 2).alias("act365"), F.round(D.simple_interest(m, F.lit(0.05), days, 360), 2).alias("act360"), F.round(D.simple_interest(m, F.lit(0.12), F.greatest(days - 30, F.lit(0))), 2).alias("penalty"))
+    return pairs(spark, d).select("o_orderkey", F.round(D.simple_interest(m, F.lit(0.05), days), 8).alias("act365"), F.round(D.simple_interest(m, F.lit(0.05), days, 360), 8).alias("act360"), F.round(D.simple_interest(m, F.lit(0.12), F.greatest(days - 30, F.lit(0))), 8).alias("penalty"))
 
 
 @R.add("""WITH e AS (SELECT o_custkey, o_orderdate::DATE AS day, sum(o_totalprice::DECIMAL(18,2)) AS paid FROM orders GROUP BY 1, 2),
@@ -116,12 +116,12 @@ def rounding_modes(spark, d):
     return table(spark, d, "lineitem").filter("l_orderkey < 200").select("l_orderkey", "l_partkey", "l_suppkey", r("FLOOR").alias("floor_"), r("CEIL").alias("ceil_"), r("HALF_UP").alias("half_up"), r("TRUNCATE").alias("cut"))
 
 
-@R.add("""WITH c AS (SELECT l_orderkey, round(l_extendedprice * (1 - l_discount), 2) AS net, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2) AS gross, l_discount, l_tax, l_extendedprice FROM lineitem)
-SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE abs(gross - net * (1 + l_tax)) <= 0.01) AS tax_ok, count(*) FILTER (WHERE net <= l_extendedprice) AS net_ok FROM c GROUP BY 1""")
+@R.add("""WITH c AS (SELECT l_orderkey, round(l_extendedprice * (1 - l_discount), 6) AS net, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS gross, l_discount, l_tax, l_extendedprice FROM lineitem)
+SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE abs(gross - net * (1 + l_tax)) <= 0.0001) AS tax_ok, count(*) FILTER (WHERE net <= l_extendedprice) AS net_ok FROM c GROUP BY 1""")
 def formula_check(spark, d):
-    net, gross = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2), F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")), 2)
+    net, gross = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 6), F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")), 6)
     c = table(spark, d, "lineitem").select("l_orderkey", net.alias("net"), gross.alias("gross"), "l_tax", "l_extendedprice")
-    return c.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("gross") - F.col("net") * (1 + F.col("l_tax"))) <= 0.01).alias("tax_ok"), F.count_if(F.col("net") <= F.col("l_extendedprice")).alias("net_ok"))
+    return c.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("gross") - F.col("net") * (1 + F.col("l_tax"))) <= 0.0001).alias("tax_ok"), F.count_if(F.col("net") <= F.col("l_extendedprice")).alias("net_ok"))
 
 
 @R.add("""SELECT l_returnflag, l_linestatus, sum(l_quantity)::DOUBLE AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
