@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ._common import grouped, slices, tune
 from ._kernels import U, shingle_sets, text_bytes
 
-SCALE = 8
+SCALE = 4
 HEAD = 32
 
 
