@@ -15,7 +15,7 @@ CPUS = int(os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8)))
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 HEADLINE = (
     "flagship", "blocks_explode", "running_heads", "token_counts", "stylometry", "pii_spans", "rule_findings", "injection_score", "lookup_match_status", "asof_version",
-    "interval_lookup", "timeline_inversions", "cross_doc_contradictions", "copied_sentences", "duplicate_groups", "benchmark_contained", "risk_index", "release_gate", "citation_groups", "majority_vote",
+    "interval_lookup", "timeline_inversions", "cross_doc_contradictions", "duplicate_groups", "benchmark_contained", "risk_index", "release_gate", "citation_groups", "majority_vote",
     "monthly_usage", "sum_check", "percent_check", "interest_schedule", "numbering_gaps", "bm25_topk", "query_profile", "coverage_gate", "prf_by_error", "resource_percentiles",
     "hash_chain_verify", "ledger_balance", "lease_sessions", "table_totals",
 )
