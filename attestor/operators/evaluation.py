@@ -68,7 +68,8 @@ def bipartite_matching(edges: DataFrame, group: str) -> DataFrame:
 
         for a in near:
             grow(a, set())
-        return pa.table({group: [key[0].as_py()] * len(owner), "left": list(owner.values()), "right": list(owner)})
+        kind = lambda c: table.schema.field(c).type
+        return pa.table({group: pa.array([key[0].as_py()] * len(owner), kind(group)), "left": pa.array(list(owner.values()), kind("left")), "right": pa.array(list(owner), kind("right"))})
 
     types = {f.name: f.dataType.simpleString() for f in schema}
     return edges.groupBy(group).applyInArrow(match, f"{group} {types[group]}, left {types['left']}, right {types['right']}")

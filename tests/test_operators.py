@@ -66,7 +66,7 @@ def test_text_functions(spark):
     w = spark.createDataFrame([("a",), ("abc",)], "w string")
     assert rows(w.select(T.bigrams(F.col("w")))) == [(["a"],), (["ab", "bc"],)]
     h = spark.createDataFrame([("<p>a &amp; b</p><script>x</script><b>c</b>",)], "h string")
-    assert rows(h.select(T.html_to_text(F.col("h")))) == [("a & b\n c",)]
+    assert rows(h.select(T.html_to_text(F.col("h")))) == [("a & b\nc",)]
     n = spark.createDataFrame([("4539578763621486",), ("1234567812345678",)], "n string")
     assert rows(n.select(T.luhn_ok(F.col("n")))) == [(True,), (False,)]
 
