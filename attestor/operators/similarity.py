@@ -5,16 +5,17 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     import unicodedata
 
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 * matches / length by longest matching blocks, with the junk heuristic of long texts; null for a null."""
     from difflib import SequenceMatcher
@@ -22,7 +23,7 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("array<struct<op:string,a:string,b:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("op", "a", "b")])))
 def word_diff(a: pd.Series, b: pd.Series) -> pd.Series:
     """Changed runs of words between two texts, without the junk heuristic."""
     from difflib import SequenceMatcher
