@@ -59,6 +59,15 @@ def simhashes(lines: list[bytes]):
     flat = np.repeat(total == 0, np.diff(counts)[full])
     weight[flat] = 1
     total = np.add.reduceat(weight, counts[full])
+    if total.max() < 1 << 16:
+        # Four counters of 16 bits in one integer: a byte of the hashes adds to eight bits at once.
+        table = np.array([[sum(((v >> (4 * k + i)) & 1) << (16 * i) for i in range(4)) for v in range(256)] for k in range(2)], dtype=U)
+        octets, wide = h.view(np.uint8).reshape(-1, 8), weight.astype(U)
+        for b in range(16):
+            sums = np.add.reduceat(table[b % 2][octets[:, b // 2]] * wide, counts[full])
+            for i in range(4):
+                out[full] |= (2 * ((sums >> U(16 * i)) & U(0xFFFF)).astype(np.int64) > total).astype(U) << U(4 * b + i)
+        return out
     for b in range(64):
         ones = np.add.reduceat(np.where((h >> U(b)) & U(1), weight, 0), counts[full])
         out[full] |= (2 * ones > total).astype(U) << U(b)
