@@ -1,40 +1,44 @@
-"""Line dedup: SimHash of normalised lines, pigeonhole blocks, verified edit similarity, one occurrence per group.
+"""Line dedup: min-hashed character grams of normalised lines, verified edit similarity, one occurrence per group.
 
 A line is normalised by lower case, digits as 0, no ASCII punctuation, single spaces. Equal normalised lines are one
-line. Its SimHash sums the hashes of its words, long words weighing more. Two lines are linked if their SimHashes
-differ in at most 3 of 64 bits and the edit similarity of the normalised lines, 1 - distance / longer length, is at
-least the threshold. The 64 bits are cut into 6 blocks; of two hashes that differ in 3 bits at most, 3 blocks agree, so
-20 tables keyed by 3 blocks find every such pair.
+line. Two lines are linked if the edit similarity of the normalised lines, 1 - distance / longer length, is at least the
+threshold; nothing else is asked of a link. Candidates share one of TABLES least gram hashes. Short lines need short
+grams and long lines long ones, so lines fall in classes by length; a class begins at the threshold times the end of the
+one before, so that two lines whose lengths allow the similarity always share a class. In each table the place of the
+shared gram must fit: what is before it and after it differs by no more than the edits allowed.
 
 A pair is looked at in the first table that both lines share. Inside a bucket only rows with a partner go on to meet
-their texts, and only links leave the task. Buckets over BLOCK rows are cut into blocks that meet pairwise.
+their texts, and only links leave the task. Buckets over BLOCK rows are cut into blocks that meet pairwise. Before the
+edit distance stands a bound that loses nothing: an edit changes at most GRAM grams of a line.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, grouped, materialize, slices, tune
-from ._kernels import U, mix, span_hashes, word_spans
+from ._common import discard, grouped, materialize, release, slices, tune
+from ._kernels import U, mix, span_hashes
 from .components import connected_components
 
-NEAR = 3
+#: Least hashes of a line, and how many of them are shuffled at once.
+TABLES = 16
+ROUND = 8
+#: Where a class of lengths ends, in characters, and the bytes of its grams; the last has no end.
+ENDS = (20, 40, 80, 160, 1 << 62)
+GRAMS = (3, 5, 8, 12, 16)
+#: Grams of the bound before the edit distance, and counters they are dealt to.
+GRAM, BINS = 3, 512
+#: Bits of a place in a key, of a place and of a size in a row.
+PLACE = 20
 BLOCK = 1024
 #: Lines whose texts are fetched by a broadcast of their 8-byte ids at most; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
-CUTS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+COLUMNS = ["block", "tab", "part", "id", "size", "place"]
+ROWS = "block long, tab int, part int, id long, size int, place int"
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def table_masks():
-    """The bits that each table looks at."""
-    blocks = [((1 << n) - 1) << at for at, n in CUTS]
-    return [a | b | c for a, b, c in combinations(blocks, 3)]
-
-
 def normalised(text: str) -> list[bytes]:
     """The normalised lines of a text, in order."""
     table = bytes.maketrans(b"123456789", b"000000000")
@@ -42,38 +46,68 @@ def normalised(text: str) -> list[bytes]:
     return [b" ".join(x.split()) for x in raw.split(b"\n")]
 
 
-def simhashes(lines: list[bytes]):
-    """A 64-bit SimHash per line; words weigh their length beyond 3 up to 8, or all alike if none is longer."""
+def _grams(lines: list[bytes], k: int):
+    """(hashes of the grams of k bytes, characters before each, grams before each line); a shorter line is one gram."""
     import numpy as np
 
     buf = np.frombuffer(b"".join(lines), np.uint8)
-    off = np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int64)
-    s, e, counts = word_spans(buf, off)
-    h = mix(span_hashes(buf, s, e) + U(5))
-    weight = np.clip(e - s - 3, 0, 8).astype(np.int32)
+    size = np.array([len(x) for x in lines], np.int64)
+    off = np.concatenate([[0], np.cumsum(size)])
+    n = np.maximum(size - k + 1, 1)
+    first = np.concatenate([[0], np.cumsum(n)])
+    s = np.arange(first[-1]) + np.repeat(off[:-1] - first[:-1], n)
+    h = span_hashes(buf, s, np.minimum(s + k, np.repeat(off[1:], n)))
+    chars = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+    return h, chars[s] - np.repeat(chars[off[:-1]], n), first
+
+
+def simhashes(lines: list[bytes]):
+    """A 64-bit SimHash per line over its grams of 3 bytes, each weighing as often as it occurs."""
+    import numpy as np
+
     out = np.zeros(len(lines), U)
-    full = np.flatnonzero(np.diff(counts) > 0)
-    if not len(full):
-        return out
-    total = np.add.reduceat(weight, counts[full])
-    flat = np.repeat(total == 0, np.diff(counts)[full])
-    weight[flat] = 1
-    total = np.add.reduceat(weight, counts[full])
-    if total.max() < 1 << 16:
-        # Four counters of 16 bits in one integer: a byte of the hashes adds to eight bits at once.
-        table = np.array([[sum(((v >> (4 * k + i)) & 1) << (16 * i) for i in range(4)) for v in range(256)] for k in range(2)], dtype=U)
-        octets, wide = h.view(np.uint8).reshape(-1, 8), weight.astype(U)
-        for b in range(16):
-            sums = np.add.reduceat(table[b % 2][octets[:, b // 2]] * wide, counts[full])
-            for i in range(4):
-                out[full] |= (2 * ((sums >> U(16 * i)) & U(0xFFFF)).astype(np.int64) > total).astype(U) << U(4 * b + i)
-        return out
-    for b in range(64):
-        ones = np.add.reduceat(np.where((h >> U(b)) & U(1), weight, 0), counts[full])
-        out[full] |= (2 * ones > total).astype(U) << U(b)
+    full = [i for i, x in enumerate(lines) if x]
+    if full:
+        h, _, first = _grams([lines[i] for i in full], 3)
+        for b in range(64):
+            ones = np.add.reduceat(((h >> U(b)) & U(1)).astype(np.int64), first[:-1])
+            out[full] |= (2 * ones > np.diff(first)).astype(U) << U(b)
     return out
 
 
+def least_hashes(lines: list[bytes], threshold: float):
+    """For each class that has lines: (class, their numbers, sizes in characters, (lines, TABLES) keys).
+
+    A key holds the least hash of a table in its upper bits and the place of that gram in the lower PLACE bits.
+    """
+    import numpy as np
+
+    size = np.array([len(x) if x.isascii() else len(x.decode("utf-8", "replace")) for x in lines], np.int64)
+    low = 1
+    for c, (end, k) in enumerate(zip(ENDS, GRAMS)):
+        at = np.flatnonzero((size >= low) & (size < end))
+        low = int(end * threshold)
+        if not len(at):
+            continue
+        h, place, first = _grams([lines[i] for i in at], k)
+        place = np.minimum(place, (1 << PLACE) - 1).astype(U)
+        keys = np.empty((len(at), TABLES), U)
+        with np.errstate(over="ignore"):
+            for t, m in enumerate(mix(np.arange(1, TABLES + 1, dtype=U)) | U(1)):
+                keys[:, t] = np.minimum.reduceat((h * m) & ~U((1 << PLACE) - 1) | place, first[:-1])
+        yield c, at, size[at], keys
+
+
+def fits(size_a, place_a, size_b, place_b, threshold: float):
+    """Whether lines of these sizes that share a gram at these places can be similar; sizes and places are arrays of int64."""
+    import numpy as np
+
+    most = (1 << PLACE) - 1
+    apart = np.abs(place_a - place_b) + np.abs((size_a - place_a) - (size_b - place_b))
+    longer = np.maximum(size_a, size_b)
+    return (apart <= (1 - threshold) * longer + 1e-9) | (longer >= most)
+
+
 def edit_distance(a: bytes | str, b: bytes | str) -> int:
     """Levenshtein distance by bit vectors on whole integers; common ends are cut first."""
     if a == b:
@@ -131,11 +165,46 @@ def _scan(batches):
 
     for batch in slices(batches, "text"):
         per = [normalised(t) if t is not None else [] for t in batch.column(2).to_pylist()]
-        lines = [x for p in per for x in p]
-        sims = simhashes(lines).view(np.int64)
         ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in per])]).astype(np.int32))
-        pairs = pa.StructArray.from_arrays([pa.array(_ids(lines), pa.int64()), pa.array(sims)], names=["id", "sim"])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, pairs)], names=["doc_id", "row_key", "lines"])
+        ids = pa.array(_ids([x for p in per for x in p]), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, ids)], names=["doc_id", "row_key", "lines"])
+
+
+def _keys(threshold: float):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches, "text"):
+            lines = list({x: None for t in batch.column(0).to_pylist() for x in normalised(t or "") if x})
+            ids = _ids(lines)
+            for c, at, size, keys in least_hashes(lines, threshold):
+                cols = [pa.array([ids[i] for i in at], pa.int64()), pa.array([c] * len(at), pa.int32()), pa.array(size.clip(max=(1 << PLACE) - 1)), pa.array([k.tobytes() for k in keys], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "class", "size", "keys"])
+
+    return run
+
+
+def _tables(begin: int):
+    """A row (block, tab, part, id, size, place) for each key of ROUND tables."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, kind, size = (batch.column(i).to_numpy() for i in range(3))
+            keys = np.frombuffer(b"".join(batch.column(3).to_pylist()), U).reshape(-1, TABLES)
+            for t in range(begin, min(begin + ROUND, TABLES)):
+                tab = (kind * TABLES + t).astype(np.int32)
+                with np.errstate(over="ignore"):
+                    block = mix((keys[:, t] >> U(PLACE)) + tab.astype(U) * U(0x9E3779B97F4A7C15))
+                place = (keys[:, t] & U((1 << PLACE) - 1)).astype(np.int32)
+                cols = (block.view(np.int64), tab, np.zeros(len(ids), np.int32), ids, size.astype(np.int32), place)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=COLUMNS)
+
+    return run
 
 
 def _texts(batches):
@@ -149,67 +218,86 @@ def _texts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array([x.decode("utf-8", "replace") for x in seen.values()], pa.string())], names=["id", "line"])
 
 
-def _near(sim, i, part, table, masks):
-    """Rows after i of a block within NEAR bits whose first shared table is this one."""
+def _partners(g, threshold: float):
+    """Which rows of sorted blocks of BLOCK rows at most have a partner that fits in their block."""
     import numpy as np
 
-    x = sim[i + 1 :] ^ sim[i]
-    ok = np.bitwise_count(x) <= NEAR
-    if part.min() != part.max():
-        ok &= part[i + 1 :] != part[i]
-    j = np.flatnonzero(ok)
-    if len(j):
-        j = j[((x[j, None] & masks[None, :]) == 0).argmax(axis=1) == table]
-    return j + i + 1
+    size, place = g["size"].astype(np.int64), g["place"].astype(np.int64)
+    has, lag = np.zeros(len(size), bool), 1
+    i = np.arange(len(size) - 1)
+    while len(i):
+        i = i[i + lag < len(size)]
+        i = i[g["block"][i + lag] == g["block"][i]]
+        j = i + lag
+        ok = fits(size[i], place[i], size[j], place[j], threshold) & ((g["part"][i] != g["part"][j]) | (g["other"][i] < 0))
+        has[i[ok]] = True
+        has[j[ok]] = True
+        lag += 1
+    return has
+
 
+def _mark(over: bool, threshold: float):
+    """Rows that have a partner in their block; without `over` a block of more than BLOCK rows goes on whole, marked `big`.
 
-def _mark(over: bool):
-    """Rows that have a partner in their block; without `over` a block of more than BLOCK rows goes on whole, marked `big`."""
+    other: with `over`, whether a block holds two parts, whose rows meet only across them; else -1.
+    """
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        masks = np.array(table_masks(), dtype=U)
-        names = ["block", "tab", "part", "id", "sim"]
-        for key, g in _runs(batches):
-            part, sim = g["part"], g["sim"].view(U)
-            n = len(sim)
-            if n > BLOCK and not over:
-                has, big = np.ones(n, bool), True
-            else:
-                has, big = np.zeros(n, bool), False
-                for i in range(n - 1):
-                    j = _near(sim, i, part, g["tab"][i], masks)
-                    if len(j):
-                        has[i] = True
-                        has[j] = True
+        for g in _runs(batches):
+            key = g["block"]
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            n = np.diff(np.append(begin, len(key)))
+            mixed = np.minimum.reduceat(g["part"], begin) != np.maximum.reduceat(g["part"], begin)
+            g["other"] = np.repeat(np.where(mixed, 0, -1), n)
+            big = np.repeat((n > BLOCK) & (not over), n)
+            has = big.copy()
+            small = np.flatnonzero(~big & np.repeat(n > 1, n))
+            if len(small):
+                has[small] = _partners({c: v[small] for c, v in g.items()}, threshold)
             if has.any():
-                yield pa.RecordBatch.from_arrays([*(pa.array(g[c][has]) for c in names), pa.array([big] * int(has.sum()))], names=[*names, "big"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(g[c][has]) for c in COLUMNS), pa.array(big[has])], names=[*COLUMNS, "big"])
 
     return run
 
 
 def _runs(batches):
-    """Runs of two rows or more with one block, as dicts of arrays; single rows are skipped without copying."""
+    """Whole runs of rows with one block, many at a time, as dicts of arrays."""
     import numpy as np
 
-    names, rest = ["block", "tab", "part", "id", "sim"], None
+    rest = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        g = {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in names}
-        if rest is not None:
-            g = {c: np.concatenate([rest[c], g[c]]) for c in names}
+        g = {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in COLUMNS}
         key = g["block"]
-        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-        starts, ends = np.concatenate([[0], cuts]), np.append(cuts, len(key))
-        for b, e in zip(starts[:-1], ends[:-1]):
-            if e - b > 1:
-                yield key[b], {c: v[b:e] for c, v in g.items()}
-        rest = {c: v[starts[-1] :] for c, v in g.items()}
-    if rest is not None and len(rest["block"]) > 1:
-        yield rest["block"][0], rest
+        if rest and rest[-1]["block"][-1] == key[-1]:
+            rest.append(g)
+            continue
+        cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
+        done = [*rest, {c: v[:cut] for c, v in g.items()}]
+        if sum(len(x["block"]) for x in done):
+            yield {c: np.concatenate([x[c] for x in done]) for c in COLUMNS}
+        rest = [{c: v[cut:] for c, v in g.items()}]
+    if rest:
+        yield {c: np.concatenate([x[c] for x in rest]) for c in COLUMNS}
+
+
+def _counts(texts: list[str]):
+    """(lines, BINS) counts of the grams of GRAM characters of each line, dealt to counters."""
+    import numpy as np
+
+    out = np.zeros((len(texts), BINS), np.int32)
+    for row, x in zip(out, texts):
+        v = np.frombuffer(x.encode("utf-32-le", "replace"), np.uint32).astype(U)
+        if len(v) >= GRAM:
+            h = v[: len(v) - GRAM + 1].copy()
+            for i in range(1, GRAM):
+                h = h * U(0x100000001B3) + v[i : len(v) - GRAM + 1 + i]
+            row[:] = np.bincount((mix(h) % U(BINS)).astype(np.int64), minlength=BINS)
+    return out
 
 
 def _link(threshold: float):
@@ -217,25 +305,27 @@ def _link(threshold: float):
         import numpy as np
         import pyarrow as pa
 
-        masks = np.array(table_masks(), dtype=U)
         for _, g in grouped(batches, "block"):
-            sim, part, tab = (g.column(c).to_numpy() for c in ("sim", "part", "tab"))
-            sim, ids, text = sim.view(U), g.column("id").to_pylist(), g.column("line").to_pylist()
-            root = {i: i for i in ids}
-
-            def find(x):
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            out = []
+            size, part, tab = (g.column(c).to_numpy().astype(np.int64) for c in ("size", "part", "tab"))
+            ids, text = g.column("id").to_pylist(), g.column("line").to_pylist()
+            keys = np.frombuffer(b"".join(g.column("keys").to_pylist()), U).reshape(-1, TABLES)
+            place = (keys & U((1 << PLACE) - 1)).astype(np.int64)
+            keys, counts, t = keys >> U(PLACE), _counts(text), int(tab[0]) % TABLES
+            group, mixed, out = np.arange(len(ids)), part.min() != part.max(), []
             for i in range(len(ids) - 1):
-                for j in _near(sim, i, part, tab[i], masks):
-                    a, b = find(ids[i]), find(ids[j])
-                    if a != b and similar(text[i], text[j], threshold):
-                        root[max(a, b)] = min(a, b)
-                        out.append((ids[i], ids[j]))
+                j = np.arange(i + 1, len(ids))
+                j = j[(group[j] != group[i]) & ((part[j] != part[i]) | (not mixed))]
+                if len(j):
+                    # The first table where the pair meets and fits.
+                    meets = (keys[j, : t + 1] == keys[i, : t + 1]) & fits(size[j, None], place[j, : t + 1], size[i], place[i, : t + 1], threshold)
+                    j = j[meets[:, t] & ~meets[:, :t].any(axis=1)]
+                if len(j):
+                    most = 2 * GRAM * ((1 - threshold) * np.maximum(size[j], size[i]) + 1e-9)
+                    j = j[(np.abs(counts[j] - counts[i]).sum(axis=1) <= most) | (np.maximum(size[j], size[i]) >= (1 << PLACE) - 1)]
+                for x in j:
+                    if group[x] != group[i] and similar(text[i], text[x], threshold):
+                        group[group == group[x]] = group[i]
+                        out.append((ids[i], ids[x]))
             cols = list(zip(*out)) or [[]] * 2
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], names=["a", "b"])
 
@@ -263,25 +353,39 @@ def _strip(carry: tuple):
     return run
 
 
-def near_lines(lines: DataFrame, docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(a, b) links that join every group of similar lines, of lines(id, sim), distinct; texts are read from docs(text)."""
-    tables = table_masks()
-    keys = F.array(*(F.struct(F.lit(t).alias("tab"), F.xxhash64(F.lit(t), F.col("sim").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))).alias("block")) for t, m in enumerate(tables)))
-    rows = lines.select("id", "sim", F.explode(keys).alias("k")).select("k.block", "k.tab", F.lit(0).alias("part"), "id", "sim")
-    schema = "block long, tab int, part int, id long, sim long, big boolean"
-    marked = materialize(rows.repartition("block").sortWithinPartitions("block", "id").mapInArrow(_mark(False), schema), "marked")
+def _marked(keys: DataFrame, begin: int, threshold: float) -> DataFrame:
+    """Rows of ROUND tables that have a partner in a block of BLOCK rows at most."""
+    rows = keys.select("id", "class", "size", "keys").mapInArrow(_tables(begin), ROWS)
+    schema = ROWS + ", big boolean"
+    marked = materialize(rows.repartition("block").sortWithinPartitions("block", "id").mapInArrow(_mark(False, threshold), schema), "marked")
     big = marked.filter("big")
     sizes = big.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
     cut = big.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("id", "block"), F.col("nb").cast("long")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    cut = cut.withColumn("block", F.xxhash64("block", F.least("part", "other"), F.greatest("part", "other"))).select("block", "tab", "part", "id", "sim")
-    cut = cut.repartition("block").sortWithinPartitions("block", "id").mapInArrow(_mark(True), schema)
-    marked = materialize(marked.filter("not big").unionByName(cut), "marked")
+    cut = cut.withColumn("block", F.xxhash64("block", F.least("part", "other"), F.greatest("part", "other"))).select(*COLUMNS)
+    cut = cut.repartition("block").sortWithinPartitions("block", "id").mapInArrow(_mark(True, threshold), schema)
+    return materialize(marked.filter("not big").unionByName(cut).drop("big"), "marked")
+
+
+def near_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(a, b) links that join every group of similar lines found, by ids of normalised lines; docs(text) is read twice."""
+    spark = docs.sparkSession
+    keys = docs.select("text").mapInArrow(_keys(threshold), "id long, class int, size long, keys binary")
+    keys = materialize(keys.groupBy("id", "class").agg(F.first("size").alias("size"), F.first("keys").alias("keys")), "keys")
+    marked = None
+    for begin in range(0, TABLES, ROUND):
+        release(spark)
+        m = _marked(keys, begin, threshold)
+        marked = m if marked is None else marked.unionByName(m)
+    release(spark)
     wanted = materialize(marked.select("id").distinct(), "wanted")
+    few = wanted.count() <= BROADCAST_IDS
+    ids = F.broadcast(wanted) if few else wanted
     texts = docs.select("text").mapInArrow(_texts, "id long, line string")
-    texts = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
-    full = marked.drop("big").join(texts, "id").repartition("block").sortWithinPartitions("block", "id")
-    return full.select("block", "tab", "part", "id", "sim", "line").mapInArrow(_link(threshold), "a long, b long")
+    texts = texts.join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    texts = keys.join(ids, "id", "left_semi").select("id", "class", "keys").join(texts, "id")
+    full = marked.withColumn("class", F.floor(F.col("tab") / TABLES).cast("int")).join(texts, ["id", "class"])
+    return full.select(*COLUMNS, "keys", "line").repartition("block").sortWithinPartitions("block", "id").mapInArrow(_link(threshold), "a long, b long")
 
 
 def line_dedup(docs: DataFrame, threshold: float = 0.8, carry: tuple = ()) -> DataFrame:
@@ -294,11 +398,10 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8, carry: tuple = ()) -> Da
     """
     tune(docs.sparkSession)
     docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text", *carry)
-    scanned = materialize(docs.select("doc_id", "row_key", "text").mapInArrow(_scan, "doc_id long, row_key long, lines array<struct<id:long,sim:long>>"), "lines")
-    spots = scanned.select("doc_id", "row_key", F.posexplode("lines").alias("line", "v")).filter("v.id <> 0").select("doc_id", "row_key", "line", "v.id", "v.sim")
-    distinct = spots.groupBy("id").agg(F.first("sim").alias("sim"))
-    groups = connected_components(materialize(near_lines(distinct, docs, threshold), "links"))
-    spots = spots.select("doc_id", "row_key", "line", "id").join(groups, "id", "left").select("doc_id", "row_key", "line", F.coalesce("component", "id").alias("root"))
+    scanned = materialize(docs.select("doc_id", "row_key", "text").mapInArrow(_scan, "doc_id long, row_key long, lines array<long>"), "lines")
+    spots = scanned.select("doc_id", "row_key", F.posexplode("lines").alias("line", "id")).filter("id <> 0")
+    groups = connected_components(materialize(near_lines(docs, threshold), "links"))
+    spots = spots.join(groups, "id", "left").select("doc_id", "row_key", "line", F.coalesce("component", "id").alias("root"))
     spots = materialize(spots, "spots")
     first = spots.groupBy("root").agg(F.min(F.struct("doc_id", "row_key", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     gone = spots.join(first, "root").filter((F.col("row_key") != F.col("first.row_key")) | (F.col("line") != F.col("first.line")))
