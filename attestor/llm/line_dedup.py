@@ -1,15 +1,23 @@
-"""Line dedup: min-hashed character grams of normalised lines, verified edit similarity, one occurrence per group.
+"""Line dedup: SimHash of normalised lines in pigeonhole blocks, verified edit similarity, one occurrence per group.
 
 A line is normalised by lower case, digits as 0, no ASCII punctuation, single spaces. Equal normalised lines are one
 line. Two lines are linked if the edit similarity of the normalised lines, 1 - distance / longer length, is at least the
-threshold; nothing else is asked of a link. Candidates share one of TABLES least gram hashes. Short lines need short
-grams and long lines long ones, so lines fall in classes by length; a class begins at the threshold times the end of the
-one before, so that two lines whose lengths allow the similarity always share a class. In each table the place of the
-shared gram must fit: what is before it and after it differs by no more than the edits allowed.
-
-A pair is looked at in the first table that both lines share. Inside a bucket only rows with a partner go on to meet
-their texts, and only links leave the task. Buckets over BLOCK rows are cut into blocks that meet pairwise. Before the
-edit distance stands a bound that loses nothing: an edit changes at most GRAM grams of a line.
+threshold; nothing else is asked of a link.
+
+The features of a line are its words (of short lines, grams of 2 or 4 characters); the k-th occurrence of a word is a
+feature of its own. Candidates come from a SimHash of TABLES blocks. Each feature is dealt to one block by its hash, and a
+block is the majority vote of the bits of its features. So features that change touch no more blocks than they are, and
+what lies in the others is equal for certain: that is the pigeonhole. (Blocks cut from the bits of one SimHash, where
+every feature votes everywhere, are all touched by any change.) The features of a block number a few whatever the
+length: lines fall in classes by length, with twice the blocks in the next class, of which TABLES are looked at. A class
+begins at the threshold times the end of the one before, so two lines whose lengths allow the similarity share a class.
+A block of too few bytes says little and is no key. Of the lines in a bucket those are candidates whose lengths fit and
+whose whole SimHash, 128 bits of all words, differs in RADIUS bits at most.
+
+Each line first meets its nearest candidate in each bucket; the links found are merged to groups. Then every pair of
+candidates that still lies in different groups is compared, where they meet; only links leave a task. Buckets over BLOCK
+rows (seen in a sample of the lines) are dealt to parts; in the second step the rows of their largest group are dealt and
+all others are sent to each part, so every pair meets, and no bucket is squared.
 """
 
 from __future__ import annotations
@@ -17,26 +25,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, grouped, materialize, release, slices, tune
-from ._kernels import U, mix, span_hashes
+from ._common import broadcast_if_small, discard, grouped, materialize, release, slices, tune
+from ._kernels import U, mix, span_hashes, word_spans
 from .components import connected_components
 
-#: Least hashes of a line, and how many of them are shuffled at once.
-TABLES = 16
-ROUND = 8
-#: Where a class of lengths ends, in characters, and the bytes of its grams; the last has no end.
-ENDS = (20, 40, 80, 160, 1 << 62)
-GRAMS = (3, 5, 8, 12, 16)
+#: Blocks of a line that are looked at, and in how many shuffles.
+TABLES, ROUNDS = 16, 2
+#: Where the first class of lengths ends, in characters; each next one ends at twice as much.
+SHORT = 20
+#: Characters of a gram, in classes whose features are grams; words begin with the class after them.
+GRAMS = (2, 4, 4)
+#: Blocks of the first classes; then twice as many for each next class. With fewer than TABLES, features are dealt again.
+BLOCKS = (4, 8, 16, 8)
+#: Bytes that the features of a block hold at least, by class.
+LEAST = (4, 8, 8, 12)
+#: Words of more characters count as a quarter of their grams of 4.
+LONG_WORD = 16
+#: Bits of 128 in which the whole SimHashes of a candidate pair differ at most.
+RADIUS = 40
 #: Grams of the bound before the edit distance, and counters they are dealt to.
 GRAM, BINS = 3, 512
-#: Bits of a place in a key, of a place and of a size in a row.
-PLACE = 20
-BLOCK = 1024
-#: Lines whose texts are fetched by a broadcast of their 8-byte ids at most; more are joined by a shuffle.
-BROADCAST_IDS = 200_000
-COLUMNS = ["block", "tab", "part", "id", "size", "place"]
-ROWS = "block long, tab int, part int, id long, size int, place int"
+#: Rows of a bucket that meet in one task; larger buckets are found in one of SAMPLE lines.
+BLOCK, SAMPLE = 8192, 64
+#: Occurrences of a line from which its verdict is broadcast (if those are few), not shuffled.
+HOT = 1000
+#: Words of 64 bits of the filter before lines are fetched: its size is fixed whatever the data.
+FILTER_WORDS = 1 << 19
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+SCAN = "doc_id long, row_key long, line int, digest binary, size int, s0 long, s1 long, keys array<long>, t0 long, t1 long, more array<long>"
+ROWS = ["block", "cell", "big", "id", "size", "s0", "s1"]
+ROWS_SCHEMA = "block long, cell long, big boolean, id long, size int, s0 long, s1 long"
 
 
 def normalised(text: str) -> list[bytes]:
@@ -46,70 +64,102 @@ def normalised(text: str) -> list[bytes]:
     return [b" ".join(x.split()) for x in raw.split(b"\n")]
 
 
-def _grams(lines: list[bytes], k: int):
-    """(hashes of the grams of k bytes, characters before each, grams before each line); a shorter line is one gram."""
+def bounds(c: int, threshold: float) -> tuple[int, int]:
+    """The sizes, in characters, of the lines of class c: from the first, before the second."""
+    return (int(threshold * (SHORT << (c - 1))) if c else 0), SHORT << c
+
+
+def _features(lines: list[bytes], c: int):
+    """(hash, bytes, line) of each feature of non-empty lines of class c, by line."""
     import numpy as np
 
     buf = np.frombuffer(b"".join(lines), np.uint8)
-    size = np.array([len(x) for x in lines], np.int64)
-    off = np.concatenate([[0], np.cumsum(size)])
-    n = np.maximum(size - k + 1, 1)
-    first = np.concatenate([[0], np.cumsum(n)])
-    s = np.arange(first[-1]) + np.repeat(off[:-1] - first[:-1], n)
-    h = span_hashes(buf, s, np.minimum(s + k, np.repeat(off[1:], n)))
-    chars = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
-    return h, chars[s] - np.repeat(chars[off[:-1]], n), first
-
-
-def simhashes(lines: list[bytes]):
-    """A 64-bit SimHash per line over its grams of 3 bytes, each weighing as often as it occurs."""
+    off = np.concatenate([[0], np.cumsum([len(x) for x in lines])])
+    first = (buf & 0xC0) != 0x80
+    at, upto = np.append(np.flatnonzero(first), len(buf)), np.concatenate([[0], np.cumsum(first)])
+
+    def grams(begin, end, owner, k):
+        n = np.maximum(end - begin - k + 1, 1)
+        i = np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+        return at[i], at[np.minimum(i + k, np.repeat(end, n))], np.repeat(owner, n)
+
+    if c < len(GRAMS):
+        s, e, owner = grams(upto[off[:-1]], upto[off[1:]], np.arange(len(lines)), GRAMS[c])
+        cut = np.zeros(len(s), bool)
+    else:
+        s, e, counts = word_spans(buf, off)
+        owner = np.repeat(np.arange(len(lines)), np.diff(counts))
+        long = upto[e] - upto[s] > LONG_WORD
+        more = grams(upto[s[long]], upto[e[long]], owner[long], 4)
+        cut = np.arange((~long).sum() + len(more[0])) >= (~long).sum()
+        s, e, owner = (np.concatenate([x[~long], y]) for x, y in zip((s, e, owner), more))
+    h = span_hashes(buf, s, e)
+    with np.errstate(over="ignore"):
+        same = mix(h + owner.astype(U) * U(0x9E3779B97F4A7C15))
+        order = np.argsort(same, kind="stable")
+        begin = np.flatnonzero(np.concatenate([[True], np.diff(same[order]) != 0]))
+        nth = np.empty(len(h), np.int64)
+        nth[order] = np.arange(len(h)) - np.repeat(begin, np.diff(np.append(begin, len(h))))
+        h = mix(h + nth.astype(U) * U(0xC2B2AE3D27D4EB4F))
+    keep = np.flatnonzero(~cut | ((h & U(3)) == 0))
+    keep = keep[np.argsort(owner[keep], kind="stable")]
+    return h[keep], (e - s)[keep], owner[keep]
+
+
+def _majority(h, begin, weight=None):
+    """The SimHash of each run of hashes from `begin` on: a bit is set if it is in over half of the weight."""
     import numpy as np
 
-    out = np.zeros(len(lines), U)
-    full = [i for i, x in enumerate(lines) if x]
-    if full:
-        h, _, first = _grams([lines[i] for i in full], 3)
-        for b in range(64):
-            ones = np.add.reduceat(((h >> U(b)) & U(1)).astype(np.int64), first[:-1])
-            out[full] |= (2 * ones > np.diff(first)).astype(U) << U(b)
+    x = np.arange(16, dtype=U)
+    lanes = (x & U(1)) | (x >> U(1) & U(1)) << U(16) | (x >> U(2) & U(1)) << U(32) | (x >> U(3)) << U(48)
+    # Lanes of 16 bits hold 4,000 votes of 16 at most.
+    cuts = np.unique(np.concatenate([begin, np.arange(0, len(h), 4000)]))
+    back = np.searchsorted(cuts, begin)
+    total = np.diff(np.append(begin, len(h))) if weight is None else np.add.reduceat(weight, begin)
+    out = np.zeros(len(begin), U)
+    for i in range(16):
+        votes = lanes[(h >> U(4 * i)) & U(15)]
+        votes = np.add.reduceat(votes if weight is None else votes * weight.astype(U), cuts)
+        for b in range(4):
+            ones = np.add.reduceat((votes >> U(16 * b) & U(0xFFFF)).astype(np.int64), back)
+            out |= (2 * ones > total).astype(U) << U(4 * i + b)
     return out
 
 
-def least_hashes(lines: list[bytes], threshold: float):
-    """For each class that has lines: (class, their numbers, sizes in characters, (lines, TABLES) keys).
-
-    A key holds the least hash of a table in its upper bits and the place of that gram in the lower PLACE bits.
-    """
+def simhash_blocks(lines: list[bytes], c: int):
+    """((2, lines) words of the whole SimHash, line of each key, keys) of non-empty lines of class c."""
     import numpy as np
 
-    size = np.array([len(x) if x.isascii() else len(x.decode("utf-8", "replace")) for x in lines], np.int64)
-    low = 1
-    for c, (end, k) in enumerate(zip(ENDS, GRAMS)):
-        at = np.flatnonzero((size >= low) & (size < end))
-        low = int(end * threshold)
+    h, size, owner = _features(lines, c)
+    whole = np.zeros((2, len(lines)), U)
+    if not len(h):
+        return whole, np.zeros(0, np.int64), np.zeros(0, U)
+    has, begin = np.unique(owner, return_index=True)
+    for i in range(2):
+        whole[i][has] = _majority(mix(h + U(i + 77)), begin, np.minimum(size, 16))
+    blocks = BLOCKS[c] if c < len(BLOCKS) else BLOCKS[-1] << (c - len(BLOCKS) + 1)
+    looked = min(blocks, TABLES)
+    owners, keys = [], []
+    for turn in range(TABLES // looked):
+        place = (mix(h + U(turn + 1)) >> U(33)).astype(np.int64) % blocks
+        at = np.flatnonzero(place < looked)
+        at = at[np.argsort(owner[at] * looked + place[at], kind="stable")]
         if not len(at):
             continue
-        h, place, first = _grams([lines[i] for i in at], k)
-        place = np.minimum(place, (1 << PLACE) - 1).astype(U)
-        keys = np.empty((len(at), TABLES), U)
+        run = owner[at] * looked + place[at]
+        begin = np.flatnonzero(np.concatenate([[True], np.diff(run) != 0]))
+        enough = np.add.reduceat(size[at], begin) >= LEAST[min(c, len(LEAST) - 1)]
+        run, value = run[begin][enough], _majority(h[at], begin)[enough]
         with np.errstate(over="ignore"):
-            for t, m in enumerate(mix(np.arange(1, TABLES + 1, dtype=U)) | U(1)):
-                keys[:, t] = np.minimum.reduceat((h * m) & ~U((1 << PLACE) - 1) | place, first[:-1])
-        yield c, at, size[at], keys
-
+            keys.append(mix(value + mix((run % looked + turn * 64 + c * 4096).astype(U))))
+        owners.append(run // looked)
+    if not keys:
+        return whole, np.zeros(0, np.int64), np.zeros(0, U)
+    return whole, np.concatenate(owners), np.concatenate(keys)
 
-def fits(size_a, place_a, size_b, place_b, threshold: float):
-    """Whether lines of these sizes that share a gram at these places can be similar; sizes and places are arrays of int64."""
-    import numpy as np
 
-    most = (1 << PLACE) - 1
-    apart = np.abs(place_a - place_b) + np.abs((size_a - place_a) - (size_b - place_b))
-    longer = np.maximum(size_a, size_b)
-    return (apart <= (1 - threshold) * longer + 1e-9) | (longer >= most)
-
-
-def edit_distance(a: bytes | str, b: bytes | str) -> int:
-    """Levenshtein distance by bit vectors on whole integers; common ends are cut first."""
+def edit_distance(a: bytes | str, b: bytes | str, enough: int = -1) -> int:
+    """Levenshtein distance by bit vectors on whole integers; common ends are cut first. What is `enough` at most may come out larger, but not above it."""
     if a == b:
         return 0
     n = min(len(a), len(b))
@@ -124,6 +174,8 @@ def edit_distance(a: bytes | str, b: bytes | str) -> int:
         a, b = a[:-i], b[:-i]
     if not a or not b:
         return len(a) + len(b)
+    if max(len(a), len(b)) <= enough:
+        return enough
     if len(a) < len(b):
         a, b = b, a
     at: dict = {}
@@ -150,59 +202,73 @@ def similar(a: str, b: str, threshold: float) -> bool:
     longer = max(len(a), len(b))
     if not longer or min(len(a), len(b)) < threshold * longer - 1e-9:
         return False
-    return edit_distance(a, b) <= (1 - threshold) * longer + 1e-9
-
-
-def _ids(lines):
-    import hashlib
+    most = (1 - threshold) * longer + 1e-9
+    return edit_distance(a, b, int(most)) <= most
 
-    return [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) if x else 0 for x in lines]
 
-
-def _scan(batches):
-    import numpy as np
-    import pyarrow as pa
-
-    for batch in slices(batches, "text"):
-        per = [normalised(t) if t is not None else [] for t in batch.column(2).to_pylist()]
-        ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in per])]).astype(np.int32))
-        ids = pa.array(_ids([x for p in per for x in p]), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, ids)], names=["doc_id", "row_key", "lines"])
+def _size(line: bytes) -> int:
+    return len(line) if line.isascii() else len(line.decode("utf-8", "replace"))
 
 
-def _keys(threshold: float):
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in slices(batches, "text"):
-            lines = list({x: None for t in batch.column(0).to_pylist() for x in normalised(t or "") if x})
-            ids = _ids(lines)
-            for c, at, size, keys in least_hashes(lines, threshold):
-                cols = [pa.array([ids[i] for i in at], pa.int64()), pa.array([c] * len(at), pa.int32()), pa.array(size.clip(max=(1 << PLACE) - 1)), pa.array([k.tobytes() for k in keys], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "class", "size", "keys"])
+def _digest(line: bytes) -> bytes:
+    import hashlib
 
-    return run
+    return hashlib.blake2b(line, digest_size=16).digest()
 
 
-def _tables(begin: int):
-    """A row (block, tab, part, id, size, place) for each key of ROUND tables."""
+def _scan(threshold: float):
+    """A row of SCAN for each line that is not blank: its 128-bit digest, and keys and whole SimHash for its one or two classes."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            if not batch.num_rows:
+        for batch in slices(batches, "text"):
+            spots, place = [], {}
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                for n, x in enumerate(normalised(text) if text is not None else ()):
+                    if x:
+                        spots.append((i, n, place.setdefault(x, len(place))))
+            if not spots:
                 continue
-            ids, kind, size = (batch.column(i).to_numpy() for i in range(3))
-            keys = np.frombuffer(b"".join(batch.column(3).to_pylist()), U).reshape(-1, TABLES)
-            for t in range(begin, min(begin + ROUND, TABLES)):
-                tab = (kind * TABLES + t).astype(np.int32)
-                with np.errstate(over="ignore"):
-                    block = mix((keys[:, t] >> U(PLACE)) + tab.astype(U) * U(0x9E3779B97F4A7C15))
-                place = (keys[:, t] & U((1 << PLACE) - 1)).astype(np.int32)
-                cols = (block.view(np.int64), tab, np.zeros(len(ids), np.int32), ids, size.astype(np.int32), place)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=COLUMNS)
+            lines = list(place)
+            size = np.array([_size(x) for x in lines])
+            found, c = [], 0
+            while bounds(c, threshold)[0] <= size.max():
+                low, end = bounds(c, threshold)
+                at = np.flatnonzero((size >= low) & (size < end))
+                if len(at):
+                    whole, owner, keys = simhash_blocks([lines[k] for k in at], c)
+                    order = np.argsort(owner, kind="stable")
+                    cuts = np.searchsorted(owner[order], np.arange(len(at) + 1))
+                    found.append((at, whole, cuts, keys[order].view(np.int64)))
+                c += 1
+            sides = []
+            for turn in range(2):
+                # A line is in one class, or in two that follow each other.
+                whole, keys, n = np.zeros((2, len(lines)), U), [None] * len(lines), np.zeros(len(lines), np.int64)
+                for k, (at, w, cuts, ks) in enumerate(found):
+                    mine = np.ones(len(at), bool) if not k else ~np.isin(at, found[k - 1][0])
+                    mine = np.flatnonzero(~mine if turn else mine)
+                    whole[:, at[mine]] = w[:, mine]
+                    for j in mine.tolist():
+                        keys[at[j]] = ks[cuts[j] : cuts[j + 1]]
+                        n[at[j]] = cuts[j + 1] - cuts[j]
+                sides.append((whole.view(np.int64), keys, n))
+            docs, nth, of = (np.array(v, np.int64) for v in zip(*spots))
+            # All but spots and digests once per line of the slice.
+            last = np.zeros(len(spots), bool)
+            last[np.unique(of, return_index=True)[1]] = True
+            digests = [_digest(x) for x in lines]
+            cols = [batch.column(0).take(pa.array(docs)), batch.column(1).take(pa.array(docs)), pa.array(nth, pa.int32()), pa.array([digests[k] for k in of], pa.binary()), pa.array(size[of], pa.int32())]
+            for whole, keys, n in sides:
+                mine = np.where(last, n[of], 0)
+                flat = [keys[k] for k in of[last] if keys[k] is not None and len(keys[k])]
+                values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64))
+                ends = pa.array(np.concatenate([[0], np.cumsum(mine)]).astype(np.int32))
+                cols += [pa.array(whole[0][of]), pa.array(whole[1][of]), pa.ListArray.from_arrays(ends, values)]
+            names = [x.split()[0] for x in SCAN.split(", ")]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
@@ -211,78 +277,103 @@ def _texts(batches):
     import pyarrow as pa
 
     for batch in slices(batches, "text"):
-        seen = {}
-        for t in batch.column(0).to_pylist():
-            lines = [x for x in normalised(t or "") if x]
-            seen.update(zip(_ids(lines), lines))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array([x.decode("utf-8", "replace") for x in seen.values()], pa.string())], names=["id", "line"])
+        lines = list({x: None for t in batch.column(0).to_pylist() for x in normalised(t or "") if x})
+        yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in lines], pa.binary()), pa.array([x.decode("utf-8", "replace") for x in lines], pa.string())], names=["digest", "line"])
+
+
+def _runs(batches, names: list[str]):
+    """Whole runs of rows with one cell, many at a time, as dicts of arrays."""
+    import numpy as np
+
+    rest = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        g = {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names}
+        key = g["cell"]
+        if rest and rest[-1]["cell"][-1] == key[-1]:
+            rest.append(g)
+            continue
+        cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
+        done = [*rest, {c: v[:cut] for c, v in g.items()}]
+        if sum(len(x["cell"]) for x in done):
+            yield {c: np.concatenate([x[c] for x in done]) for c in names}
+        rest = [{c: v[cut:] for c, v in g.items()}]
+    if rest:
+        yield {c: np.concatenate([x[c] for x in rest]) for c in names}
 
 
-def _partners(g, threshold: float):
-    """Which rows of sorted blocks of BLOCK rows at most have a partner that fits in their block."""
+def _candidates(g, threshold: float):
+    """Pairs (i, j, distance of SimHashes) of rows of one cell, sorted by cell and size, that fit; those of one gap at a time."""
     import numpy as np
 
-    size, place = g["size"].astype(np.int64), g["place"].astype(np.int64)
-    has, lag = np.zeros(len(size), bool), 1
-    i = np.arange(len(size) - 1)
+    i, lag = np.arange(len(g["cell"]) - 1), 1
+    s0, s1, size = g["s0"].view(U), g["s1"].view(U), g["size"].astype(np.int64)
     while len(i):
         i = i[i + lag < len(size)]
-        i = i[g["block"][i + lag] == g["block"][i]]
         j = i + lag
-        ok = fits(size[i], place[i], size[j], place[j], threshold) & ((g["part"][i] != g["part"][j]) | (g["other"][i] < 0))
-        has[i[ok]] = True
-        has[j[ok]] = True
+        i = i[(g["cell"][i] == g["cell"][j]) & (size[i] >= threshold * size[j] - 1e-9)]
+        j = i + lag
+        far = np.bitwise_count(s0[i] ^ s0[j]).astype(np.int64) + np.bitwise_count(s1[i] ^ s1[j])
+        near = np.flatnonzero(far <= RADIUS)
+        if len(near):
+            yield i[near], j[near], far[near]
         lag += 1
-    return has
 
 
-def _mark(over: bool, threshold: float):
-    """Rows that have a partner in their block; without `over` a block of more than BLOCK rows goes on whole, marked `big`.
-
-    other: with `over`, whether a block holds two parts, whose rows meet only across them; else -1.
-    """
+def _mates(threshold: float):
+    """Rows that have a candidate in their cell, with the nearest; rows of big buckets go on without one too."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for g in _runs(batches):
-            key = g["block"]
-            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            n = np.diff(np.append(begin, len(key)))
-            mixed = np.minimum.reduceat(g["part"], begin) != np.maximum.reduceat(g["part"], begin)
-            g["other"] = np.repeat(np.where(mixed, 0, -1), n)
-            big = np.repeat((n > BLOCK) & (not over), n)
-            has = big.copy()
-            small = np.flatnonzero(~big & np.repeat(n > 1, n))
-            if len(small):
-                has[small] = _partners({c: v[small] for c, v in g.items()}, threshold)
-            if has.any():
-                yield pa.RecordBatch.from_arrays([*(pa.array(g[c][has]) for c in COLUMNS), pa.array(big[has])], names=[*COLUMNS, "big"])
+        for g in _runs(batches, ROWS):
+            none = np.iinfo(np.int64).max
+            best = np.full(len(g["cell"]), none)
+            for i, j, far in _candidates(g, threshold):
+                best[i] = np.minimum(best[i], far << 48 | j)
+                best[j] = np.minimum(best[j], far << 48 | i)
+            has = best < none
+            at = np.flatnonzero(has | g["big"])
+            if len(at):
+                mate = pa.array(g["id"][np.where(has, best & ((1 << 48) - 1), 0)][at], mask=~has[at])
+                yield pa.RecordBatch.from_arrays([*(pa.array(g[c][at]) for c in ROWS), mate], names=[*ROWS, "mate"])
 
     return run
 
 
-def _runs(batches):
-    """Whole runs of rows with one block, many at a time, as dicts of arrays."""
-    import numpy as np
+def _verify(threshold: float):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ok = pa.array([similar(x, y, threshold) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+
+    return run
+
+
+APART = [*ROWS, "comp", "home"]
 
-    rest = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        g = {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in COLUMNS}
-        key = g["block"]
-        if rest and rest[-1]["block"][-1] == key[-1]:
-            rest.append(g)
-            continue
-        cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
-        done = [*rest, {c: v[:cut] for c, v in g.items()}]
-        if sum(len(x["block"]) for x in done):
-            yield {c: np.concatenate([x[c] for x in done]) for c in COLUMNS}
-        rest = [{c: v[cut:] for c, v in g.items()}]
-    if rest:
-        yield {c: np.concatenate([x[c] for x in rest]) for c in COLUMNS}
+
+def _apart(threshold: float):
+    """Rows that have a candidate in another group in their cell; one of the two is at home there."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for g in _runs(batches, APART):
+            has = np.zeros(len(g["cell"]), bool)
+            for i, j, _ in _candidates(g, threshold):
+                ok = (g["comp"][i] != g["comp"][j]) & (g["home"][i] | g["home"][j])
+                has[i[ok]] = True
+                has[j[ok]] = True
+            if has.any():
+                yield pa.RecordBatch.from_arrays([pa.array(g[c][has]) for c in APART], names=APART)
+
+    return run
 
 
 def _counts(texts: list[str]):
@@ -301,31 +392,38 @@ def _counts(texts: list[str]):
 
 
 def _link(threshold: float):
+    """Links of each cell between groups that no link of the cell has joined yet.
+
+    Before the edit distance stands a bound that loses nothing: an edit changes at most GRAM grams of a line.
+    """
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for _, g in grouped(batches, "block"):
-            size, part, tab = (g.column(c).to_numpy().astype(np.int64) for c in ("size", "part", "tab"))
-            ids, text = g.column("id").to_pylist(), g.column("line").to_pylist()
-            keys = np.frombuffer(b"".join(g.column("keys").to_pylist()), U).reshape(-1, TABLES)
-            place = (keys & U((1 << PLACE) - 1)).astype(np.int64)
-            keys, counts, t = keys >> U(PLACE), _counts(text), int(tab[0]) % TABLES
-            group, mixed, out = np.arange(len(ids)), part.min() != part.max(), []
-            for i in range(len(ids) - 1):
-                j = np.arange(i + 1, len(ids))
-                j = j[(group[j] != group[i]) & ((part[j] != part[i]) | (not mixed))]
-                if len(j):
-                    # The first table where the pair meets and fits.
-                    meets = (keys[j, : t + 1] == keys[i, : t + 1]) & fits(size[j, None], place[j, : t + 1], size[i], place[i, : t + 1], threshold)
-                    j = j[meets[:, t] & ~meets[:, :t].any(axis=1)]
-                if len(j):
-                    most = 2 * GRAM * ((1 - threshold) * np.maximum(size[j], size[i]) + 1e-9)
-                    j = j[(np.abs(counts[j] - counts[i]).sum(axis=1) <= most) | (np.maximum(size[j], size[i]) >= (1 << PLACE) - 1)]
-                for x in j:
-                    if group[x] != group[i] and similar(text[i], text[x], threshold):
-                        group[group == group[x]] = group[i]
-                        out.append((ids[i], ids[x]))
+        for _, t in grouped(batches, "cell"):
+            t = t.sort_by([("size", "ascending"), ("id", "ascending")])
+            g = {c: t.column(c).to_numpy() for c in APART}
+            text = t.column("line")
+            counts = _counts(text.to_pylist())
+            root = {x: x for x in g["comp"].tolist()}
+
+            def find(x):
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            out = []
+            for i, j, _ in _candidates(g, threshold):
+                most = 2 * GRAM * ((1 - threshold) * g["size"][j] + 1e-9)
+                ok = (g["comp"][i] != g["comp"][j]) & (g["home"][i] | g["home"][j])
+                ok[ok] = np.abs(counts[i[ok]] - counts[j[ok]]).sum(axis=1) <= most[ok]
+                for x, y in zip(i[ok].tolist(), j[ok].tolist()):
+                    a, b = find(int(g["comp"][x])), find(int(g["comp"][y]))
+                    if a != b and similar(text[x].as_py(), text[y].as_py(), threshold):
+                        root[max(a, b)] = min(a, b)
+                        out.append((g["id"][x], g["id"][y]))
             cols = list(zip(*out)) or [[]] * 2
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], names=["a", "b"])
 
@@ -353,39 +451,95 @@ def _strip(carry: tuple):
     return run
 
 
-def _marked(keys: DataFrame, begin: int, threshold: float) -> DataFrame:
-    """Rows of ROUND tables that have a partner in a block of BLOCK rows at most."""
-    rows = keys.select("id", "class", "size", "keys").mapInArrow(_tables(begin), ROWS)
-    schema = ROWS + ", big boolean"
-    marked = materialize(rows.repartition("block").sortWithinPartitions("block", "id").mapInArrow(_mark(False, threshold), schema), "marked")
-    big = marked.filter("big")
-    sizes = big.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    cut = big.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("id", "block"), F.col("nb").cast("long")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    cut = cut.withColumn("block", F.xxhash64("block", F.least("part", "other"), F.greatest("part", "other"))).select(*COLUMNS)
-    cut = cut.repartition("block").sortWithinPartitions("block", "id").mapInArrow(_mark(True, threshold), schema)
-    return materialize(marked.filter("not big").unionByName(cut).drop("big"), "marked")
-
-
-def near_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(a, b) links that join every group of similar lines found, by ids of normalised lines; docs(text) is read twice."""
+def _scanned(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(scan, lines): the lines of docs(doc_id, row_key, text) that are not blank, and the different ones with an id each."""
+    scanned = materialize(docs.select("doc_id", "row_key", "text").mapInArrow(_scan(threshold), SCAN), "scan")
+    # Of equal lines any that has its keys; they are the same in all that have.
+    once = F.max_by(F.struct("size", "s0", "s1", "keys", "t0", "t1", "more"), F.size("keys") + F.size("more")).alias("v")
+    lines = scanned.groupBy("digest").agg(F.min(F.struct("doc_id", "row_key", "line")).alias("first"), F.count("*").alias("n"), once)
+    # The ids are those of this one table; nothing computes them again.
+    return scanned, materialize(lines.select(F.monotonically_increasing_id().alias("id"), "digest", "first", "n", "v.*"), "lines")
+
+
+def _rows(lines: DataFrame, spark) -> DataFrame:
+    """A row of ROWS for each key of each line."""
+    of = lambda keys, a, b: F.transform(keys, lambda k: F.struct(k.alias("block"), F.col(a).alias("s0"), F.col(b).alias("s1")))
+    rows = lines.select("id", "size", F.explode(F.concat(of("keys", "s0", "s1"), of("more", "t0", "t1"))).alias("k")).select("id", "size", "k.*")
+    few = lines.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select(F.explode(F.concat("keys", "more")).alias("block"))
+    hot = few.groupBy("block").agg(F.ceil(F.count("*") * SAMPLE / BLOCK).cast("int").alias("parts")).filter(F.col("parts") > 1)
+    hot = materialize(hot, "hot")
+    if hot.isEmpty():
+        return rows.select("block", F.col("block").alias("cell"), F.lit(False).alias("big"), "id", "size", "s0", "s1")
+    rows = rows.join(broadcast_if_small(hot), "block", "left").withColumn("big", F.col("parts").isNotNull())
+    cell = F.when(F.col("big"), F.xxhash64("block", F.pmod(F.xxhash64("id", "block"), F.col("parts").cast("long")))).otherwise(F.col("block"))
+    return rows.withColumn("cell", cell).select(*ROWS)
+
+
+def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, line) for the rows of wanted(id, digest); most other lines are dropped where they are read, by a filter of fixed size."""
+    bit = lambda d: d.withColumn("h", F.xxhash64("digest")).withColumn("word", F.pmod(F.shiftrightunsigned("h", 6), F.lit(FILTER_WORDS))).withColumn("bit", F.expr("shiftleft(1L, cast(h & 63 as int))"))
+    words = bit(wanted).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    texts = docs.select("text").mapInArrow(_texts, "digest binary, line string")
+    texts = bit(texts).join(F.broadcast(words), "word").filter(F.col("bits").bitwiseAND(F.col("bit")) != 0).select("digest", "line")
+    return texts.join(wanted, "digest").groupBy("id").agg(F.first("line").alias("line"))
+
+
+def _second(marked: DataFrame, comp: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several groups, dealt to cells where every two groups meet."""
+    rows = marked.drop("mate", "cell").join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    sizes = rows.groupBy("block", "comp", "big").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("block").agg(F.count("*").alias("groups"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.when(F.max("big"), F.ceil(F.sum("n") / BLOCK)).otherwise(1).cast("long").alias("parts"))
+    rows = rows.join(sizes.filter("groups > 1"), "block")
+    own = F.pmod(F.xxhash64("id", "block"), F.col("parts"))
+    parts = F.when(F.col("comp") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    rows = rows.withColumn("part", F.explode(parts)).withColumn("home", F.col("part") == own)
+    return rows.withColumn("cell", F.xxhash64("block", "part")).select(*APART)
+
+
+def _links(docs: DataFrame, lines: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """((a, b) links between lines, (id, component) of the lines that are linked with another)."""
     spark = docs.sparkSession
-    keys = docs.select("text").mapInArrow(_keys(threshold), "id long, class int, size long, keys binary")
-    keys = materialize(keys.groupBy("id", "class").agg(F.first("size").alias("size"), F.first("keys").alias("keys")), "keys")
-    marked = None
-    for begin in range(0, TABLES, ROUND):
-        release(spark)
-        m = _marked(keys, begin, threshold)
+    rows, marked = _rows(lines, spark), None
+    for r in range(ROUNDS):
+        dealt = rows.filter(F.pmod("block", F.lit(ROUNDS)) == r).repartition("cell").sortWithinPartitions("cell", "size", "id")
+        m = materialize(dealt.mapInArrow(_mates(threshold), ROWS_SCHEMA + ", mate long"), "marked")
         marked = m if marked is None else marked.unionByName(m)
+        release(spark)
+    wanted = marked.select("id").distinct().join(lines.select("id", "digest"), "id")
+    texts = materialize(_fetch(docs, materialize(wanted, "wanted")), "texts")
+    pairs = marked.filter("mate is not null").select(F.least("id", "mate").alias("a"), F.greatest("id", "mate").alias("b")).distinct()
+    pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+    links = materialize(pairs.select("a", "b", "x", "y").mapInArrow(_verify(threshold), "a long, b long"), "links")
+    comp = materialize(connected_components(links), "comp")
     release(spark)
-    wanted = materialize(marked.select("id").distinct(), "wanted")
-    few = wanted.count() <= BROADCAST_IDS
-    ids = F.broadcast(wanted) if few else wanted
-    texts = docs.select("text").mapInArrow(_texts, "id long, line string")
-    texts = texts.join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
-    texts = keys.join(ids, "id", "left_semi").select("id", "class", "keys").join(texts, "id")
-    full = marked.withColumn("class", F.floor(F.col("tab") / TABLES).cast("int")).join(texts, ["id", "class"])
-    return full.select(*COLUMNS, "keys", "line").repartition("block").sortWithinPartitions("block", "id").mapInArrow(_link(threshold), "a long, b long")
+    dealt = lambda d: d.repartition("cell").sortWithinPartitions("cell", "size", "id")
+    left = materialize(dealt(_second(marked, comp)).mapInArrow(_apart(threshold), ROWS_SCHEMA + ", comp long, home boolean"), "apart")
+    rest = materialize(dealt(left.join(texts, "id").select(*APART, "line")).mapInArrow(_link(threshold), "a long, b long"), "links")
+    if not rest.isEmpty():
+        links = links.unionByName(rest)
+        comp = materialize(connected_components(links), "comp")
+    discard(texts)
+    return links, comp
+
+
+def near_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(a, b) links that join every group of similar lines found in docs(text), by digests of normalised lines."""
+    tune(docs.sparkSession)
+    docs = docs.select(F.lit(0).cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
+    lines = _scanned(docs, threshold)[1]
+    links, digest = _links(docs, lines, threshold)[0], lines.select("id", "digest")
+    links = links.join(digest.toDF("a", "x"), "a").join(digest.toDF("b", "y"), "b")
+    return links.select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def _by_key(many: DataFrame, once: DataFrame, key: str) -> DataFrame:
+    """many joined with once(key, ..., n) by key, where n says how many rows `many` has of the key: hot keys are not shuffled."""
+    hot = once.filter(F.col("n") >= HOT).drop("n")
+    if hot.isEmpty():
+        return many.join(once.drop("n"), key)
+    hot = materialize(hot, "hot")
+    rest = many.join(broadcast_if_small(hot.select(key)), key, "left_anti").join(once.filter(F.col("n") < HOT).drop("n"), key)
+    return many.join(broadcast_if_small(hot), key).unionByName(rest)
 
 
 def line_dedup(docs: DataFrame, threshold: float = 0.8, carry: tuple = ()) -> DataFrame:
@@ -393,20 +547,28 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8, carry: tuple = ()) -> Da
 
     Of each group of equal or linked lines the first in order of (doc_id, row_key, line number) stays, null doc_ids
     first; all others go. Lines without letters, digits or other non-ASCII signs are blank and stay. kept: the lines
-    left, joined by line feeds (null for a null text). Rows with equal doc_id and text count as one document. Line ids
-    are 64-bit hashes of the normalised lines. Texts and lines are read whole; other columns are ignored; an empty table gives no row.
+    left, joined by line feeds (null for a null text). Rows with equal doc_id and text count as one document. Lines are
+    known by 128-bit digests. Texts and lines are read whole; other columns are ignored; an empty table gives no row.
     """
     tune(docs.sparkSession)
     docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text", *carry)
-    scanned = materialize(docs.select("doc_id", "row_key", "text").mapInArrow(_scan, "doc_id long, row_key long, lines array<long>"), "lines")
-    spots = scanned.select("doc_id", "row_key", F.posexplode("lines").alias("line", "id")).filter("id <> 0")
-    groups = connected_components(materialize(near_lines(docs, threshold), "links"))
-    spots = spots.join(groups, "id", "left").select("doc_id", "row_key", "line", F.coalesce("component", "id").alias("root"))
-    spots = materialize(spots, "spots")
-    first = spots.groupBy("root").agg(F.min(F.struct("doc_id", "row_key", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    gone = spots.join(first, "root").filter((F.col("row_key") != F.col("first.row_key")) | (F.col("line") != F.col("first.line")))
-    gone = materialize(gone.select("row_key", "line").distinct().groupBy("row_key").agg(F.collect_list("line").alias("gone")), "gone")
-    discard(spots)
-    rows = docs.join(gone, "row_key", "left").select("doc_id", "row_key", "text", "gone", *carry)
+    scanned, lines = _scanned(docs, threshold)
+    spots = scanned.select("doc_id", "row_key", "line", "digest")
+    _, comp = _links(docs, lines, threshold)
+    # Lines that are alone decide for themselves, groups by their first line.
+    known = lines.select("id", "digest", "first", "n").join(comp, "id", "left")
+    alone = known.filter("component is null and n > 1").select("digest", F.col("first").alias("keep"), "n")
+    linked = materialize(known.filter("component is not null"), "linked")
+    first = linked.groupBy("component").agg(F.min("first").alias("keep"), F.count("*").alias("n"))
+    grouped_ = _by_key(linked.select("component", "digest", F.col("n").alias("occurs")), materialize(first, "first"), "component").select("digest", "keep", F.col("occurs").alias("n"))
+    verdict = materialize(alone.unionByName(grouped_), "verdict")
+    gone = _by_key(spots, verdict, "digest").filter(~(F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("row_key") == F.col("keep.row_key")) & (F.col("line") == F.col("keep.line"))))
+    gone = materialize(gone.select("doc_id", "row_key", "line").distinct().groupBy("doc_id", "row_key").agg(F.collect_list("line").alias("gone")), "gone")
+    for done in (scanned, lines, linked, verdict):
+        discard(done)
+    release(docs.sparkSession)
+    d, g = docs.alias("d"), gone.alias("g")
+    rows = d.join(g, (F.col("d.row_key") == F.col("g.row_key")) & F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
+    rows = rows.select("d.doc_id", "d.row_key", "d.text", "g.gone", *(F.col(f"d.`{c}`") for c in carry))
     more = "".join(f", `{c}` {t}" for c, t in docs.select(*carry).dtypes)
     return rows.mapInArrow(_strip(carry), "doc_id long, row_key long, n_lines long, n_removed long, kept string, kept_sha256 string" + more)
