@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import broadcast_if_small, discard, grouped, materialize, release, slices, tune
+from ._common import broadcast_if_small, discard, materialize, release, slices, tune
 from ._kernels import U, mix, span_hashes, word_spans
 from .components import connected_components
 
@@ -42,19 +42,19 @@ LEAST = (4, 8, 8, 12)
 #: Words of more characters count as a quarter of their grams of 4.
 LONG_WORD = 16
 #: Bits of 128 in which the whole SimHashes of a candidate pair differ at most.
-RADIUS = 40
-#: Grams of the bound before the edit distance, and counters they are dealt to.
-GRAM, BINS = 3, 512
+RADIUS = 34
+#: Edit distances of lines that differ in 64 * WIDE characters at most are taken many at a time, if there are MANY.
+WIDE, MANY = 8, 64
 #: Rows of a bucket that meet in one task; larger buckets are found in one of SAMPLE lines.
 BLOCK, SAMPLE = 8192, 64
 #: Occurrences of a line from which its verdict is broadcast (if those are few), not shuffled.
 HOT = 1000
 #: Words of 64 bits of the filter before lines are fetched: its size is fixed whatever the data.
-FILTER_WORDS = 1 << 19
+FILTER_WORDS = 1 << 18
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-SCAN = "doc_id long, row_key long, line int, digest binary, size int, s0 long, s1 long, keys array<long>, t0 long, t1 long, more array<long>"
-ROWS = ["block", "cell", "big", "id", "size", "s0", "s1"]
-ROWS_SCHEMA = "block long, cell long, big boolean, id long, size int, s0 long, s1 long"
+SCAN = "doc_id long, row_key long, line int, digest binary, size int, s0 long, s1 long, keys array<long>, t0 long, t1 long, keys2 array<long>"
+ROWS = ["cell", "id", "size", "s0", "s1"]
+
 
 
 def normalised(text: str) -> list[bytes]:
@@ -107,23 +107,25 @@ def _features(lines: list[bytes], c: int):
 
 
 def _majority(h, begin, weight=None):
-    """The SimHash of each run of hashes from `begin` on: a bit is set if it is in over half of the weight."""
+    """The SimHash of each run of hashes from `begin` on: a bit is set if it is in over half of the weight (1 to 4 each)."""
     import numpy as np
 
-    x = np.arange(16, dtype=U)
-    lanes = (x & U(1)) | (x >> U(1) & U(1)) << U(16) | (x >> U(2) & U(1)) << U(32) | (x >> U(3)) << U(48)
-    # Lanes of 16 bits hold 4,000 votes of 16 at most.
-    cuts = np.unique(np.concatenate([begin, np.arange(0, len(h), 4000)]))
+    # The bits of a byte in a byte each: eight counters at a time, of 63 votes of 4 at most.
+    lanes = sum((np.arange(256, dtype=U) >> U(b) & U(1)) << U(8 * b) for b in range(8))
+    cuts = np.unique(np.concatenate([begin, np.arange(0, len(h), 63)])) if len(begin) and np.diff(np.append(begin, len(h))).max() > 63 else begin
     back = np.searchsorted(cuts, begin)
     total = np.diff(np.append(begin, len(h))) if weight is None else np.add.reduceat(weight, begin)
-    out = np.zeros(len(begin), U)
-    for i in range(16):
-        votes = lanes[(h >> U(4 * i)) & U(15)]
-        votes = np.add.reduceat(votes if weight is None else votes * weight.astype(U), cuts)
-        for b in range(4):
-            ones = np.add.reduceat((votes >> U(16 * b) & U(0xFFFF)).astype(np.int64), back)
-            out |= (2 * ones > total).astype(U) << U(4 * i + b)
-    return out
+    out = np.zeros((len(begin), 8), np.uint8)
+    parts = h.view(np.uint8).reshape(-1, 8)
+    for i in range(8):
+        votes = lanes[parts[:, i]]
+        if weight is not None:
+            votes *= weight.astype(U)
+        votes = np.add.reduceat(votes, cuts).view(np.uint8).reshape(-1, 8).astype(np.int64)
+        if len(cuts) > len(begin):
+            votes = np.add.reduceat(votes, back, axis=0)
+        out[:, i] = np.packbits(2 * votes > total[:, None], axis=1, bitorder="little")[:, 0]
+    return out.view(U).ravel()
 
 
 def simhash_blocks(lines: list[bytes], c: int):
@@ -134,9 +136,9 @@ def simhash_blocks(lines: list[bytes], c: int):
     whole = np.zeros((2, len(lines)), U)
     if not len(h):
         return whole, np.zeros(0, np.int64), np.zeros(0, U)
-    has, begin = np.unique(owner, return_index=True)
-    for i in range(2):
-        whole[i][has] = _majority(mix(h + U(i + 77)), begin, np.minimum(size, 16))
+    begin = np.flatnonzero(np.concatenate([[True], np.diff(owner) != 0]))
+    weight = np.clip(size >> 2, 1, 4)
+    whole[0][owner[begin]], whole[1][owner[begin]] = _majority(h, begin, weight), _majority(mix(h), begin, weight)
     blocks = BLOCKS[c] if c < len(BLOCKS) else BLOCKS[-1] << (c - len(BLOCKS) + 1)
     looked = min(blocks, TABLES)
     owners, keys = [], []
@@ -158,24 +160,37 @@ def simhash_blocks(lines: list[bytes], c: int):
     return whole, np.concatenate(owners), np.concatenate(keys)
 
 
-def edit_distance(a: bytes | str, b: bytes | str, enough: int = -1) -> int:
-    """Levenshtein distance by bit vectors on whole integers; common ends are cut first. What is `enough` at most may come out larger, but not above it."""
-    if a == b:
-        return 0
-    n = min(len(a), len(b))
-    i = 0
-    while i < n and a[i] == b[i]:
-        i += 1
-    a, b = a[i:], b[i:]
-    n, i = min(len(a), len(b)), 0
-    while i < n and a[-1 - i] == b[-1 - i]:
-        i += 1
-    if i:
-        a, b = a[:-i], b[:-i]
+def trimmed(a, b):
+    """a and b without their common ends."""
+    for side in (0, 1):
+        low, high = 0, min(len(a), len(b))
+        while low < high:
+            mid = (low + high + 1) // 2
+            same = a[low:mid] == b[low:mid] if not side else a[len(a) - mid : len(a) - low] == b[len(b) - mid : len(b) - low]
+            low, high = (mid, high) if same else (low, mid - 1)
+        a, b = (a[low:], b[low:]) if not side else (a[: len(a) - low], b[: len(b) - low])
+    return a, b
+
+
+def at_most(a, b, piece: int = 16) -> int:
+    """A number of edits that turns a into b, found by cutting both at a piece that they share."""
+    a, b = trimmed(a, b)
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) > 2 * piece:
+        for at in (len(a) // 2, len(a) // 4, 3 * len(a) // 4):
+            x = a[at - piece // 2 : at + piece // 2]
+            i = b.find(x, max(0, at - piece // 2 - len(b) // 8)) if len(x) == piece else -1
+            if i >= 0:
+                return at_most(a[: at - piece // 2], b[:i]) + at_most(a[at + piece // 2 :], b[i + piece :])
+    return len(b)
+
+
+def edit_distance(a: bytes | str, b: bytes | str) -> int:
+    """Levenshtein distance by bit vectors on whole integers; common ends are cut first."""
+    a, b = trimmed(a, b)
     if not a or not b:
         return len(a) + len(b)
-    if max(len(a), len(b)) <= enough:
-        return enough
     if len(a) < len(b):
         a, b = b, a
     at: dict = {}
@@ -199,11 +214,75 @@ def edit_distance(a: bytes | str, b: bytes | str, enough: int = -1) -> int:
 
 
 def similar(a: str, b: str, threshold: float) -> bool:
-    longer = max(len(a), len(b))
-    if not longer or min(len(a), len(b)) < threshold * longer - 1e-9:
-        return False
-    most = (1 - threshold) * longer + 1e-9
-    return edit_distance(a, b, int(most)) <= most
+    return all_similar([a], [b], threshold)[0]
+
+
+def all_similar(a: list[str], b: list[str], threshold: float) -> list[bool]:
+    """Of each pair, whether its edit similarity is at least the threshold; no line is similar to an empty one."""
+    out, rest = [False] * len(a), {}
+    for k, (x, y) in enumerate(zip(a, b)):
+        longer, shorter = max(len(x), len(y)), min(len(x), len(y))
+        most = (1 - threshold) * longer + 1e-9
+        if not shorter or longer - shorter > most:
+            continue
+        x, y = trimmed(x, y)
+        if at_most(x, y) <= most:
+            out[k] = True
+        else:
+            x, y = sorted((x, y), key=len)
+            rest.setdefault(-(-len(x) // 64), []).append((len(y), k, x, y, most))
+    for words, some in rest.items():
+        some.sort()
+        step = max(MANY, (1 << 18) // (64 * max(words, 1)))
+        for begin in range(0, len(some), step):
+            part = some[begin : begin + step]
+            if len(part) >= MANY and 0 < words <= WIDE:
+                far = _distances([r[2] for r in part], [r[3] for r in part], words).tolist()
+            else:
+                far = [edit_distance(r[2], r[3]) for r in part]
+            for r, d in zip(part, far):
+                out[r[1]] = d <= r[4]
+    return out
+
+
+def _distances(short: list[str], long: list[str], words: int):
+    """Levenshtein distances of pairs whose first line has up to 64 * words characters, by Myers' bit vectors over all pairs at once."""
+    import numpy as np
+
+    def table(lines, width):
+        out = np.zeros((len(lines), width), np.uint32)
+        flat = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = np.array([len(x) for x in lines])
+        at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        out[np.repeat(np.arange(len(lines)), size), at] = flat + 1
+        return out, size
+
+    p, m = table(short, 64 * words)
+    t, n = table(long, max(map(len, long)))
+    if max(p.max(), t.max()) < 256:
+        p, t = p.astype(np.uint8), t.astype(np.uint8)
+    t = np.ascontiguousarray(t.T)
+    one, last, top = U(1), U(63), (m - 1 - 64 * (words - 1)).astype(U)
+    up, down = [np.full(len(m), ~U(0)) for _ in range(words)], [np.zeros(len(m), U) for _ in range(words)]
+    far = m.astype(np.int64)
+    for k in range(len(t)):
+        match = np.ascontiguousarray(np.packbits(p == t[k][:, None], axis=1, bitorder="little").view(U).T)
+        rise_in, fall_in = one, U(0)
+        for w in range(words):
+            eq = match[w]
+            diag = eq | down[w]
+            eq = eq | fall_in
+            over = (((eq & up[w]) + up[w]) ^ up[w]) | eq
+            rise, fall = down[w] | ~(over | up[w]), up[w] & over
+            if w == words - 1:
+                far += ((rise >> top & one) - (fall >> top & one)).view(np.int64) * (k < n)
+            else:
+                rise_out, fall_out = rise >> last, fall >> last
+            rise, fall = rise << one | rise_in, fall << one | fall_in
+            if w < words - 1:
+                rise_in, fall_in = rise_out, fall_out
+            up[w], down[w] = fall | ~(diag | rise), rise & diag
+    return far
 
 
 def _size(line: bytes) -> int:
@@ -321,8 +400,8 @@ def _candidates(g, threshold: float):
         lag += 1
 
 
-def _mates(threshold: float):
-    """Rows that have a candidate in their cell, with the nearest; rows of big buckets go on without one too."""
+def _mates(threshold: float, all_rows: bool = False):
+    """Rows that have a candidate in their cell, with the nearest; with all_rows the others too."""
 
     def run(batches):
         import numpy as np
@@ -335,7 +414,7 @@ def _mates(threshold: float):
                 best[i] = np.minimum(best[i], far << 48 | j)
                 best[j] = np.minimum(best[j], far << 48 | i)
             has = best < none
-            at = np.flatnonzero(has | g["big"])
+            at = np.arange(len(has)) if all_rows else np.flatnonzero(has)
             if len(at):
                 mate = pa.array(g["id"][np.where(has, best & ((1 << 48) - 1), 0)][at], mask=~has[at])
                 yield pa.RecordBatch.from_arrays([*(pa.array(g[c][at]) for c in ROWS), mate], names=[*ROWS, "mate"])
@@ -348,13 +427,13 @@ def _verify(threshold: float):
         import pyarrow as pa
 
         for batch in batches:
-            ok = pa.array([similar(x, y, threshold) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
+            ok = pa.array(all_similar(batch.column(2).to_pylist(), batch.column(3).to_pylist(), threshold), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
     return run
 
 
-APART = [*ROWS, "comp", "home"]
+APART = [*ROWS, "block", "comp", "home"]
 
 
 def _apart(threshold: float):
@@ -376,36 +455,17 @@ def _apart(threshold: float):
     return run
 
 
-def _counts(texts: list[str]):
-    """(lines, BINS) counts of the grams of GRAM characters of each line, dealt to counters."""
-    import numpy as np
-
-    out = np.zeros((len(texts), BINS), np.int32)
-    for row, x in zip(out, texts):
-        v = np.frombuffer(x.encode("utf-32-le", "replace"), np.uint32).astype(U)
-        if len(v) >= GRAM:
-            h = v[: len(v) - GRAM + 1].copy()
-            for i in range(1, GRAM):
-                h = h * U(0x100000001B3) + v[i : len(v) - GRAM + 1 + i]
-            row[:] = np.bincount((mix(h) % U(BINS)).astype(np.int64), minlength=BINS)
-    return out
-
-
 def _link(threshold: float):
-    """Links of each cell between groups that no link of the cell has joined yet.
-
-    Before the edit distance stands a bound that loses nothing: an edit changes at most GRAM grams of a line.
-    """
+    """Links of each cell between groups that no link of its cells has joined yet. A pair is looked at under the least key that both lines have."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for _, t in grouped(batches, "cell"):
-            t = t.sort_by([("size", "ascending"), ("id", "ascending")])
+        for t in _whole_cells(batches):
             g = {c: t.column(c).to_numpy() for c in APART}
-            text = t.column("line")
-            counts = _counts(text.to_pylist())
+            text, keys = t.column("line"), [frozenset(k) for k in t.column("keys").to_pylist()]
+            block = g["block"].tolist()
             root = {x: x for x in g["comp"].tolist()}
 
             def find(x):
@@ -414,22 +474,52 @@ def _link(threshold: float):
                     x = root[x]
                 return x
 
-            out = []
-            for i, j, _ in _candidates(g, threshold):
-                most = 2 * GRAM * ((1 - threshold) * g["size"][j] + 1e-9)
-                ok = (g["comp"][i] != g["comp"][j]) & (g["home"][i] | g["home"][j])
-                ok[ok] = np.abs(counts[i[ok]] - counts[j[ok]]).sum(axis=1) <= most[ok]
+            def links(i, j):
+                ends = [(find(a), find(b)) for a, b in zip(g["comp"][i].tolist(), g["comp"][j].tolist())]
+                left = np.array([a != b and min(keys[x] & keys[y]) == block[x] for (a, b), x, y in zip(ends, i.tolist(), j.tolist())], bool)
+                i, j = i[left], j[left]
+                ok = np.array(all_similar(text.take(pa.array(i)).to_pylist(), text.take(pa.array(j)).to_pylist(), threshold), bool)
                 for x, y in zip(i[ok].tolist(), j[ok].tolist()):
                     a, b = find(int(g["comp"][x])), find(int(g["comp"][y]))
-                    if a != b and similar(text[x].as_py(), text[y].as_py(), threshold):
+                    if a != b:
                         root[max(a, b)] = min(a, b)
-                        out.append((g["id"][x], g["id"][y]))
+                        yield g["id"][x], g["id"][y]
+
+            out, waiting, n = [], [], 0
+            for i, j, _ in _candidates(g, threshold):
+                ok = (g["comp"][i] != g["comp"][j]) & (g["home"][i] | g["home"][j])
+                waiting.append((i[ok], j[ok]))
+                n += ok.sum()
+                if n > 1000:
+                    out += links(*(np.concatenate(x) for x in zip(*waiting)))
+                    waiting, n = [], 0
+            if n:
+                out += links(*(np.concatenate(x) for x in zip(*waiting)))
             cols = list(zip(*out)) or [[]] * 2
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _whole_cells(batches):
+    """Tables of whole cells, from batches sorted by cell."""
+    import pyarrow as pa
+
+    rest = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(batch.schema.get_field_index("cell")).to_numpy()
+        cut = int((key != key[-1]).nonzero()[0][-1]) + 1 if key[0] != key[-1] else 0
+        if cut or (rest and rest[-1].column(0)[-1].as_py() != key[0]):
+            done = [*rest, batch.slice(0, cut)]
+            rest = []
+            yield pa.Table.from_batches([x for x in done if x.num_rows])
+        rest.append(batch.slice(cut))
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
 def _strip(carry: tuple):
     def run(batches):
         import hashlib
@@ -455,40 +545,72 @@ def _scanned(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(scan, lines): the lines of docs(doc_id, row_key, text) that are not blank, and the different ones with an id each."""
     scanned = materialize(docs.select("doc_id", "row_key", "text").mapInArrow(_scan(threshold), SCAN), "scan")
     # Of equal lines any that has its keys; they are the same in all that have.
-    once = F.max_by(F.struct("size", "s0", "s1", "keys", "t0", "t1", "more"), F.size("keys") + F.size("more")).alias("v")
+    once = F.max_by(F.struct("size", "s0", "s1", "keys", "t0", "t1", "keys2"), F.size("keys") + F.size("keys2")).alias("v")
     lines = scanned.groupBy("digest").agg(F.min(F.struct("doc_id", "row_key", "line")).alias("first"), F.count("*").alias("n"), once)
     # The ids are those of this one table; nothing computes them again.
     return scanned, materialize(lines.select(F.monotonically_increasing_id().alias("id"), "digest", "first", "n", "v.*"), "lines")
 
 
-def _rows(lines: DataFrame, spark) -> DataFrame:
-    """A row of ROWS for each key of each line."""
-    of = lambda keys, a, b: F.transform(keys, lambda k: F.struct(k.alias("block"), F.col(a).alias("s0"), F.col(b).alias("s1")))
-    rows = lines.select("id", "size", F.explode(F.concat(of("keys", "s0", "s1"), of("more", "t0", "t1"))).alias("k")).select("id", "size", "k.*")
-    few = lines.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select(F.explode(F.concat("keys", "more")).alias("block"))
-    hot = few.groupBy("block").agg(F.ceil(F.count("*") * SAMPLE / BLOCK).cast("int").alias("parts")).filter(F.col("parts") > 1)
+def _rows(lines: DataFrame) -> DataFrame:
+    """A row (block, id, size, s0, s1) for each key of each line."""
+    one = lines.select(F.explode("keys").alias("block"), "id", "size", "s0", "s1")
+    return one.unionByName(lines.filter(F.size("keys2") > 0).select(F.explode("keys2").alias("block"), "id", "size", F.col("t0").alias("s0"), F.col("t1").alias("s1")))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("cell").sortWithinPartitions("cell", "size", "id")
+
+
+def _marked(lines: DataFrame, threshold: float) -> DataFrame:
+    """(block, id, size, s0, s1, mate, parts): rows that have a candidate, or that are in a bucket of several parts."""
+    spark = lines.sparkSession
+    rows = _rows(lines)
+    few = _rows(lines.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0))
+    hot = few.groupBy("block").agg(F.ceil(F.count("*") * SAMPLE / BLOCK).cast("long").alias("parts")).filter(F.col("parts") > 1)
     hot = materialize(hot, "hot")
-    if hot.isEmpty():
-        return rows.select("block", F.col("block").alias("cell"), F.lit(False).alias("big"), "id", "size", "s0", "s1")
-    rows = rows.join(broadcast_if_small(hot), "block", "left").withColumn("big", F.col("parts").isNotNull())
-    cell = F.when(F.col("big"), F.xxhash64("block", F.pmod(F.xxhash64("id", "block"), F.col("parts").cast("long")))).otherwise(F.col("block"))
-    return rows.withColumn("cell", cell).select(*ROWS)
+    schema = "cell long, id long, size int, s0 long, s1 long, mate long"
+    out = None
+    if not hot.isEmpty():
+        hot = broadcast_if_small(hot)
+        # The part of a row follows from its id, so its bucket is found again by its own join.
+        big = rows.join(hot, "block").withColumn("cell", F.xxhash64("block", F.pmod(F.xxhash64("id", "block"), F.col("parts"))))
+        big = materialize(big.select("cell", "block", "parts", "id", "size", "s0", "s1"), "big")
+        rows = rows.join(hot, "block", "left_anti")
+        mates = _dealt(big.select(*ROWS)).mapInArrow(_mates(threshold, True), schema)
+        out = materialize(mates.join(big.select("cell", "block", "parts", "id"), ["cell", "id"]).select("block", "id", "size", "s0", "s1", "mate", "parts"), "marked")
+    for r in range(ROUNDS):
+        m = _dealt(rows.filter(F.pmod("block", F.lit(ROUNDS)) == r).withColumnRenamed("block", "cell"))
+        m = m.mapInArrow(_mates(threshold), schema).select(F.col("cell").alias("block"), "id", "size", "s0", "s1", "mate", F.lit(1).cast("long").alias("parts"))
+        m = materialize(m, "marked")
+        out = m if out is None else out.unionByName(m)
+        release(spark)
+    return out
+
+
+def _bits(rows: DataFrame, key: str) -> DataFrame:
+    """With the word and the bit of a filter that `key` sets."""
+    rows = rows.withColumn("h", F.xxhash64(key))
+    return rows.withColumn("word", F.pmod(F.shiftrightunsigned("h", 6), F.lit(FILTER_WORDS))).withColumn("bit", F.expr("shiftleft(1L, cast(h & 63 as int))")).drop("h")
+
+
+def _maybe(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in wanted, and perhaps some others, by a filter of fixed size that is broadcast."""
+    words = _bits(wanted.select(key), key).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    rows = _bits(rows, key).join(F.broadcast(words), "word")
+    return rows.filter(F.col("bits").bitwiseAND(F.col("bit")) != 0).drop("word", "bit", "bits")
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, line) for the rows of wanted(id, digest); most other lines are dropped where they are read, by a filter of fixed size."""
-    bit = lambda d: d.withColumn("h", F.xxhash64("digest")).withColumn("word", F.pmod(F.shiftrightunsigned("h", 6), F.lit(FILTER_WORDS))).withColumn("bit", F.expr("shiftleft(1L, cast(h & 63 as int))"))
-    words = bit(wanted).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    texts = docs.select("text").mapInArrow(_texts, "digest binary, line string")
-    texts = bit(texts).join(F.broadcast(words), "word").filter(F.col("bits").bitwiseAND(F.col("bit")) != 0).select("digest", "line")
-    return texts.join(wanted, "digest").groupBy("id").agg(F.first("line").alias("line"))
+    """(id, line) for the rows of wanted(id, digest, row_key), from documents that hold them; most others are dropped where they are read."""
+    texts = _maybe(docs.select("row_key", "text"), wanted, "row_key").select("text").mapInArrow(_texts, "digest binary, line string")
+    return _maybe(texts, wanted, "digest").join(wanted.select("id", "digest"), "digest").groupBy("id").agg(F.first("line").alias("line"))
 
 
 def _second(marked: DataFrame, comp: DataFrame) -> DataFrame:
     """The rows of buckets that hold several groups, dealt to cells where every two groups meet."""
-    rows = marked.drop("mate", "cell").join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    sizes = rows.groupBy("block", "comp", "big").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("block").agg(F.count("*").alias("groups"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.when(F.max("big"), F.ceil(F.sum("n") / BLOCK)).otherwise(1).cast("long").alias("parts"))
+    rows = marked.drop("mate").join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    sizes = rows.groupBy("block", "comp", "parts").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("block").agg(F.count("*").alias("groups"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
     rows = rows.join(sizes.filter("groups > 1"), "block")
     own = F.pmod(F.xxhash64("id", "block"), F.col("parts"))
     parts = F.when(F.col("comp") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
@@ -498,23 +620,16 @@ def _second(marked: DataFrame, comp: DataFrame) -> DataFrame:
 
 def _links(docs: DataFrame, lines: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """((a, b) links between lines, (id, component) of the lines that are linked with another)."""
-    spark = docs.sparkSession
-    rows, marked = _rows(lines, spark), None
-    for r in range(ROUNDS):
-        dealt = rows.filter(F.pmod("block", F.lit(ROUNDS)) == r).repartition("cell").sortWithinPartitions("cell", "size", "id")
-        m = materialize(dealt.mapInArrow(_mates(threshold), ROWS_SCHEMA + ", mate long"), "marked")
-        marked = m if marked is None else marked.unionByName(m)
-        release(spark)
-    wanted = marked.select("id").distinct().join(lines.select("id", "digest"), "id")
+    marked = _marked(lines, threshold)
+    wanted = marked.select("id").distinct().join(lines.select("id", "digest", F.col("first.row_key").alias("row_key")), "id")
     texts = materialize(_fetch(docs, materialize(wanted, "wanted")), "texts")
     pairs = marked.filter("mate is not null").select(F.least("id", "mate").alias("a"), F.greatest("id", "mate").alias("b")).distinct()
     pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     links = materialize(pairs.select("a", "b", "x", "y").mapInArrow(_verify(threshold), "a long, b long"), "links")
     comp = materialize(connected_components(links), "comp")
-    release(spark)
-    dealt = lambda d: d.repartition("cell").sortWithinPartitions("cell", "size", "id")
-    left = materialize(dealt(_second(marked, comp)).mapInArrow(_apart(threshold), ROWS_SCHEMA + ", comp long, home boolean"), "apart")
-    rest = materialize(dealt(left.join(texts, "id").select(*APART, "line")).mapInArrow(_link(threshold), "a long, b long"), "links")
+    release(docs.sparkSession)
+    left = materialize(_dealt(_second(marked, comp)).mapInArrow(_apart(threshold), "cell long, id long, size int, s0 long, s1 long, block long, comp long, home boolean"), "apart")
+    rest = materialize(_dealt(left.join(texts, "id").join(lines.select("id", F.concat("keys", "keys2").alias("keys")), "id").select(*APART, "line", "keys")).mapInArrow(_link(threshold), "a long, b long"), "links")
     if not rest.isEmpty():
         links = links.unionByName(rest)
         comp = materialize(connected_components(links), "comp")

@@ -113,6 +113,17 @@ def test_edit_distance():
     for _ in range(300):
         a, b = ("".join(rnd.choice("abc") for _ in range(rnd.randint(0, 80))) for _ in range(2))
         assert ld.edit_distance(a, b) == plain(a, b)
+    pairs = []
+    for _ in range(400):
+        a = "".join(rnd.choice("abcé東") for _ in range(rnd.choice((0, 1, 5, 63, 64, 65, 130, 300))))
+        b = list(a)
+        for _ in range(int(len(a) * rnd.random() * 0.5)):
+            i = rnd.randrange(len(b) + 1)
+            b[i : i + rnd.randint(0, 1)] = rnd.choice(("", "x", "yz"))
+        pairs.append((a, "".join(b)) if rnd.random() < 0.5 else ("".join(b), a))
+    near = [max(map(len, p)) > 0 and plain(*p) <= 0.2 * max(map(len, p)) + 1e-9 for p in pairs]
+    assert ld.all_similar(*zip(*pairs), 0.8) == near == [ld.similar(a, b, 0.8) for a, b in pairs]
+    assert 50 < sum(near) < 350
 
 
 def line_fixture():
