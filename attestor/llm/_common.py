@@ -9,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 ARROW_BYTES = 8 << 20
+#: Rows of a key from which its one row is broadcast (if those are few), not shuffled.
+HOT = 1000
+#: Words of 64 bits of the filter of maybe_in(): its size is fixed whatever the data.
+FILTER_WORDS = 1 << 18
 SLICE_BYTES = 1 << 20
 
 
@@ -54,6 +58,35 @@ def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def _bits(rows: DataFrame, key: str) -> DataFrame:
+    """With the word and the bit of a filter that `key` sets."""
+    from pyspark.sql import functions as F
+
+    rows = rows.withColumn("h", F.xxhash64(key))
+    return rows.withColumn("word", F.pmod(F.shiftrightunsigned("h", 6), F.lit(FILTER_WORDS))).withColumn("bit", F.expr("shiftleft(1L, cast(h & 63 as int))")).drop("h")
+
+
+def maybe_in(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in wanted, and perhaps some others, by a filter of fixed size that is broadcast."""
+    from pyspark.sql import functions as F
+
+    words = _bits(wanted.select(key), key).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    rows = _bits(rows, key).join(F.broadcast(words), "word")
+    return rows.filter(F.col("bits").bitwiseAND(F.col("bit")) != 0).drop("word", "bit", "bits")
+
+
+def join_hot(many: DataFrame, once: DataFrame, key: str) -> DataFrame:
+    """many joined with once(key, ..., n) by key, where n says how many rows `many` has of the key: hot keys are not shuffled."""
+    from pyspark.sql import functions as F
+
+    hot = once.filter(F.col("n") >= HOT).drop("n")
+    if hot.isEmpty():
+        return many.join(once.drop("n"), key)
+    hot = materialize(hot, "hot")
+    rest = many.join(broadcast_if_small(hot.select(key)), key, "left_anti").join(once.filter(F.col("n") < HOT).drop("n"), key)
+    return many.join(broadcast_if_small(hot), key).unionByName(rest)
+
+
 def release(spark: SparkSession) -> None:
     """Frees the shuffle files of finished steps now: Spark drops them once the driver's garbage is collected."""
     import gc

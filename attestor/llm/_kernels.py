@@ -136,13 +136,13 @@ def shingle_sets(buf, off, k: int = 5, lower: bool = True):
     return out, counts
 
 
-def pack(values, width: int = 5) -> bytes:
+def pack(values, width: int = 8) -> bytes:
     """The low `width` bytes of sorted 64-bit hashes, sorted again."""
     v = np.unique(np.asarray(values, dtype=U) & U((1 << (8 * width)) - 1))
     return v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def unpack(data: bytes, width: int = 5):
+def unpack(data: bytes, width: int = 8):
     raw = np.frombuffer(data, np.uint8).reshape(-1, width)
     out = np.zeros((len(raw), 8), np.uint8)
     out[:, :width] = raw

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import broadcast_if_small, discard, materialize, release, slices, tune
+from ._common import broadcast_if_small, discard, join_hot, materialize, maybe_in, release, slices, tune
 from ._kernels import U, mix, span_hashes, word_spans
 from .components import connected_components
 
@@ -47,10 +47,6 @@ RADIUS = 34
 WIDE, MANY = 8, 64
 #: Rows of a bucket that meet in one task; larger buckets are found in one of SAMPLE lines.
 BLOCK, SAMPLE = 8192, 64
-#: Occurrences of a line from which its verdict is broadcast (if those are few), not shuffled.
-HOT = 1000
-#: Words of 64 bits of the filter before lines are fetched: its size is fixed whatever the data.
-FILTER_WORDS = 1 << 18
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SCAN = "doc_id long, row_key long, line int, digest binary, size int, s0 long, s1 long, keys array<long>, t0 long, t1 long, keys2 array<long>"
 ROWS = ["cell", "id", "size", "s0", "s1"]
@@ -587,23 +583,10 @@ def _marked(lines: DataFrame, threshold: float) -> DataFrame:
     return out
 
 
-def _bits(rows: DataFrame, key: str) -> DataFrame:
-    """With the word and the bit of a filter that `key` sets."""
-    rows = rows.withColumn("h", F.xxhash64(key))
-    return rows.withColumn("word", F.pmod(F.shiftrightunsigned("h", 6), F.lit(FILTER_WORDS))).withColumn("bit", F.expr("shiftleft(1L, cast(h & 63 as int))")).drop("h")
-
-
-def _maybe(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """The rows whose key is in wanted, and perhaps some others, by a filter of fixed size that is broadcast."""
-    words = _bits(wanted.select(key), key).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    rows = _bits(rows, key).join(F.broadcast(words), "word")
-    return rows.filter(F.col("bits").bitwiseAND(F.col("bit")) != 0).drop("word", "bit", "bits")
-
-
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, line) for the rows of wanted(id, digest, row_key), from documents that hold them; most others are dropped where they are read."""
-    texts = _maybe(docs.select("row_key", "text"), wanted, "row_key").select("text").mapInArrow(_texts, "digest binary, line string")
-    return _maybe(texts, wanted, "digest").join(wanted.select("id", "digest"), "digest").groupBy("id").agg(F.first("line").alias("line"))
+    texts = maybe_in(docs.select("row_key", "text"), wanted, "row_key").select("text").mapInArrow(_texts, "digest binary, line string")
+    return maybe_in(texts, wanted, "digest").join(wanted.select("id", "digest"), "digest").groupBy("id").agg(F.first("line").alias("line"))
 
 
 def _second(marked: DataFrame, comp: DataFrame) -> DataFrame:
@@ -647,16 +630,6 @@ def near_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     return links.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def _by_key(many: DataFrame, once: DataFrame, key: str) -> DataFrame:
-    """many joined with once(key, ..., n) by key, where n says how many rows `many` has of the key: hot keys are not shuffled."""
-    hot = once.filter(F.col("n") >= HOT).drop("n")
-    if hot.isEmpty():
-        return many.join(once.drop("n"), key)
-    hot = materialize(hot, "hot")
-    rest = many.join(broadcast_if_small(hot.select(key)), key, "left_anti").join(once.filter(F.col("n") < HOT).drop("n"), key)
-    return many.join(broadcast_if_small(hot), key).unionByName(rest)
-
-
 def line_dedup(docs: DataFrame, threshold: float = 0.8, carry: tuple = ()) -> DataFrame:
     """(doc_id, row_key, n_lines, n_removed, kept, kept_sha256, and the columns to carry) for each row of docs(doc_id, text).
 
@@ -675,9 +648,9 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8, carry: tuple = ()) -> Da
     alone = known.filter("component is null and n > 1").select("digest", F.col("first").alias("keep"), "n")
     linked = materialize(known.filter("component is not null"), "linked")
     first = linked.groupBy("component").agg(F.min("first").alias("keep"), F.count("*").alias("n"))
-    grouped_ = _by_key(linked.select("component", "digest", F.col("n").alias("occurs")), materialize(first, "first"), "component").select("digest", "keep", F.col("occurs").alias("n"))
+    grouped_ = join_hot(linked.select("component", "digest", F.col("n").alias("occurs")), materialize(first, "first"), "component").select("digest", "keep", F.col("occurs").alias("n"))
     verdict = materialize(alone.unionByName(grouped_), "verdict")
-    gone = _by_key(spots, verdict, "digest").filter(~(F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("row_key") == F.col("keep.row_key")) & (F.col("line") == F.col("keep.line"))))
+    gone = join_hot(spots, verdict, "digest").filter(~(F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("row_key") == F.col("keep.row_key")) & (F.col("line") == F.col("keep.line"))))
     gone = materialize(gone.select("doc_id", "row_key", "line").distinct().groupBy("doc_id", "row_key").agg(F.collect_list("line").alias("gone")), "gone")
     for done in (scanned, lines, linked, verdict):
         discard(done)

@@ -7,10 +7,11 @@ candidates. The number of bands follows from the threshold: a pair at the thresh
 below 1e-6, more similar pairs far less often.
 
 Candidates in a bucket are not emitted as all pairs. Round one proposes to each member its best partner by sketch
-agreement. After those links are verified on the full sets and merged, round two looks, inside the task, at every pair
-of a bucket that still lies in different groups and whose sketch agreement is at most 4.5 standard deviations below the
-threshold, verifies it on the full sets, and emits links only. Buckets over BLOCK members are cut into blocks and
-compared block against block, so no task holds a whole bucket.
+agreement; large buckets are dealt to parts for that. After those links are verified on the full sets and merged, round
+two looks, inside the task, at every pair of a bucket that still lies in different groups, verifies it on the full sets,
+and emits links only. In a large bucket the members of its largest group are dealt to parts and all others are sent to
+each part, so every two groups meet and no bucket is squared. Left out unverified are pairs whose sketches agree so
+little, SIGMAS standard deviations below the threshold, that a pair at the threshold does so with probability below 1e-15.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, grouped, materialize, slices, tune
+from ._common import discard, grouped, join_hot, materialize, maybe_in, slices, tune
 from ._kernels import U, mix, pack, shingle_sets, text_bytes, unpack
 from .components import connected_components
 
 ROWS = 5
 BLOCK = 512
+SIGMAS = 8
 
 
 def bands_for(threshold: float, miss: float = 1e-6) -> int:
@@ -93,14 +95,11 @@ def _first_pass(t: int, bands: int, lower: bool):
     return run
 
 
-def _partners(comp, part, sig, i, least):
-    """Rows of a block that may pair with row i: in another group, in the other part if there are two, alike enough by sketch."""
+def _partners(comp, home, sig, i, least):
+    """Rows of a block that may pair with row i: in another group, one of both at home here, alike enough by sketch."""
     import numpy as np
 
-    ok = comp != comp[i]
-    if part.min() != part.max():
-        ok &= part != part[i]
-    j = np.flatnonzero(ok)
+    j = np.flatnonzero((comp != comp[i]) & (home | home[i]))
     s = ((sig[j] == sig[i]).mean(axis=1) - 1 / 256) / (1 - 1 / 256) if len(j) else np.zeros(0)
     return j[s >= least], s[s >= least]
 
@@ -122,10 +121,10 @@ def _best(least: float):
         for _, g in grouped(batches, "block"):
             if g.num_rows < 2:
                 continue
-            ids, comp, part, sig = _columns(g, "id", "comp", "part", "sig")
+            ids, comp, home, sig = _columns(g, "id", "comp", "home", "sig")
             out = []
             for i in range(len(ids)):
-                j, s = _partners(comp, part, sig, i, least)
+                j, s = _partners(comp, home, sig, i, least)
                 if len(j):
                     k = int(np.lexsort((ids[j], -s))[0])
                     out.append((ids[i], ids[j[k]], s[k]))
@@ -145,9 +144,9 @@ def _mark(least: float):
         for _, g in grouped(batches, "block"):
             if g.num_rows < 2:
                 continue
-            comp, part, sig = _columns(g, "comp", "part", "sig")
-            has = pa.array(np.array([len(_partners(comp, part, sig, i, least)[0]) > 0 for i in range(g.num_rows)]))
-            yield from g.select(["block", "band", "id", "comp", "part"]).filter(has).combine_chunks().to_batches()
+            comp, home, sig = _columns(g, "comp", "home", "sig")
+            has = pa.array(np.array([len(_partners(comp, home, sig, i, least)[0]) > 0 for i in range(g.num_rows)]))
+            yield from g.select(["block", "band", "id", "comp", "home"]).filter(has).combine_chunks().to_batches()
 
     return run
 
@@ -165,13 +164,13 @@ def _link(least: float, percent: int):
         for _, g in grouped(batches, "block"):
             if g.num_rows < 2:
                 continue
-            ids, comp, part, sig = _columns(g, "id", "comp", "part", "sig")
+            ids, comp, home, sig = _columns(g, "id", "comp", "home", "sig")
             band = g.column("band")[0].as_py()
             bands = np.array(g.column("bands").to_pylist(), dtype=np.int64)
             sets = [unpack(x) for x in g.column("members").to_pylist()]
             pairs = []
             for i in range(len(ids)):
-                j, s = _partners(comp, part, sig, i, least)
+                j, s = _partners(comp, home, sig, i, least)
                 later = ids[j] > ids[i]
                 j, s = j[later], s[later]
                 if len(j):
@@ -210,11 +209,8 @@ def _sets(lower: bool):
         import pyarrow as pa
 
         for batch in slices(batches, "text"):
-            sets, _ = shingle_sets(*text_bytes(batch.column(1)), lower=lower)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([pack(s) for s in sets], pa.binary())],
-                names=["id", "found", "members"],
-            )
+            sets, _ = shingle_sets(*text_bytes(batch.column(0)), lower=lower)
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([pack(s) for s in sets], pa.binary())], names=["set_key", "members"])
 
     return run
 
@@ -246,7 +242,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, lower: bool = True)
     Two documents are linked if 100 * |A & B| >= 100 * threshold * |A | B| over the sets of 5-word shingles.
     component_id is the smallest doc_id reachable over links. Null and empty texts and texts without words have an
     empty set and no link. A row with a null doc_id has a null component and is kept. Rows that share a doc_id count
-    as one document. Texts of any length are read whole; other columns are ignored; an empty table gives no row.
+    as one document, which is linked with what any of its texts is near to. Texts of any length are read whole; other
+    columns are ignored; an empty table gives no row.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -256,51 +253,58 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, lower: bool = True)
     docs = docs.select("doc_id", "text")
     sk = materialize(docs.mapInArrow(_first_pass(t, bands, lower), "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>"), "sketch")
 
-    # Equal sets are one class; its smallest doc_id stands for it.
-    classes = materialize(
-        sk.filter("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n_shingles", "sig", "bands"), "doc_id").alias("v")).select("set_key", "id", "v.*"), "classes"
-    )
+    # Equal sets are one class with an id of its own, that of this one table; its smallest doc_id stands for it.
+    classes = sk.filter("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("sig", "bands"), "doc_id").alias("v"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("id"), "set_key", "doc_id", "v.*"), "classes")
     keyed = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key", "m")
-    members = materialize(keyed.join(shared, "key").select("key", "band", "id", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")), "members")
-    sigs = classes.select("id", "set_key", "n_shingles", "sig")
-    wanted = members.select("id").distinct().join(sigs.select("id", "set_key"), "id")
-    sets = docs.join(wanted.select(F.col("id").alias("doc_id"), "set_key"), "doc_id").select("doc_id", "text").mapInArrow(_sets(lower), "id long, found binary, members binary")
-    sets = materialize(sets.join(wanted, "id").filter(F.col("found") == F.col("set_key")).groupBy("id").agg(F.first("members").alias("members")), "sets")
-
-    least = threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / t)
-
-    def blocks(comp: DataFrame | None) -> DataFrame:
-        m = members
-        if comp is not None:
-            m = m.join(comp.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-            open_ = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-            m = m.join(open_, "key")
-        else:
-            m = m.withColumn("comp", F.col("id"))
-        m = m.withColumn("part", F.pmod(F.xxhash64("id", "key"), F.col("nb").cast("long")).cast("int"))
-        m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        # Blocks of one bucket meet pairwise: (i, j) holds the members of both.
-        return m.withColumn("block", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
-
-    def sorted_blocks(m: DataFrame) -> DataFrame:
-        return m.repartition("block").sortWithinPartitions("block", "id")
-
-    best = sorted_blocks(blocks(None).join(sigs.drop("set_key"), "id").select("block", "id", "comp", "part", "sig")).mapInArrow(_best(least), "a long, b long, s double")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = join_hot(keyed, materialize(shared.withColumn("m", F.col("n")), "shared"), "key")
+    members = materialize(members.select("key", "band", "id", F.ceil(F.col("m") / BLOCK).cast("long").alias("parts")), "members")
+    sigs = classes.select("id", "sig")
+    wanted = materialize(members.select("id").distinct().join(classes.select("id", "set_key", "doc_id"), "id"), "wanted")
+    sets = maybe_in(docs, wanted, "doc_id").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text").mapInArrow(_sets(lower), "set_key binary, members binary")
+    sets = materialize(sets.join(wanted.select("id", "set_key"), "set_key").groupBy("id").agg(F.first("members").alias("members")), "sets")
+
+    least = threshold - SIGMAS * math.sqrt(threshold * (1 - threshold) / t)
+    own = F.pmod(F.xxhash64("id", "key"), F.col("parts"))
+    sorted_blocks = lambda m: m.repartition("block").sortWithinPartitions("block", "id")
+
+    first = members.select("id", F.col("id").alias("comp"), F.lit(True).alias("home"), F.xxhash64("key", own).alias("block"))
+    best = sorted_blocks(first.join(sigs, "id").select("block", "id", "comp", "home", "sig")).mapInArrow(_best(least), "a long, b long, s double")
     best = best.groupBy("a").agg(F.max_by("b", F.struct("s", -F.col("b"))).alias("b"))
     pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
-    first = materialize(both.mapInArrow(_verify(percent), "a long, b long"), "links")
-    comp = materialize(connected_components(first), "comp")
+    links = materialize(both.mapInArrow(_verify(percent), "a long, b long"), "links")
+    # The texts of one doc_id are linked by it.
+    texts = sk.filter("doc_id is not null and set_key is not null").groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).filter("x < y")
+    texts = sk.join(materialize(texts, "repeated"), "doc_id").filter("set_key > x").select("x", F.col("set_key").alias("y")).distinct()
+    key = lambda a, b: classes.select(F.col("id").alias(a), F.col("set_key").alias(b))
+    links = links.unionByName(materialize(texts.join(key("a", "x"), "x").join(key("b", "y"), "y").select("a", "b"), "links"))
+    comp = materialize(connected_components(links), "comp")
 
     # The rest: all pairs of a bucket that lie in different groups, verified where they meet; only links leave the task.
-    marked = sorted_blocks(blocks(comp).join(sigs.drop("set_key"), "id").select("block", "band", "id", "comp", "part", "sig")).mapInArrow(_mark(least), "block long, band int, id long, comp long, part int")
+    m = members.join(comp.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    groups = m.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    m = join_hot(m, materialize(groups.filter("groups > 1"), "groups"), "key")
+    parts = F.when(F.col("comp") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    m = m.withColumn("part", F.explode(parts)).withColumn("home", F.col("part") == own).withColumn("block", F.xxhash64("key", "part"))
+    marked = sorted_blocks(m.join(sigs, "id").select("block", "band", "id", "comp", "home", "sig")).mapInArrow(_mark(least), "block long, band int, id long, comp long, home boolean")
     full = materialize(marked, "marked").join(classes.select("id", "sig", "bands"), "id").join(sets, "id")
-    second = materialize(sorted_blocks(full.select("block", "band", "id", "comp", "part", "sig", "bands", "members")).mapInArrow(_link(least, percent), "a long, b long"), "links")
+    second = materialize(sorted_blocks(full.select("block", "band", "id", "comp", "home", "sig", "bands", "members")).mapInArrow(_link(least, percent), "a long, b long"), "links")
     if not second.isEmpty():
-        comp = materialize(connected_components(first.unionByName(second)), "comp")
+        comp = materialize(connected_components(links.unionByName(second)), "comp")
     discard(sets)
-    reps = classes.select("set_key", "id").join(comp, "id", "left").select("set_key", F.coalesce("component", "id").alias("root"))
-    out = sk.select("doc_id", "n_shingles", "set_key").join(reps, "set_key", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+    # The smallest doc_id of each group, by class; a doc_id without a class stands for itself.
+    roots = classes.select("id", "set_key", "doc_id").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    roots = materialize(roots.select("component", "set_key", "doc_id"), "roots")
+    least_id = roots.groupBy("component").agg(F.min("doc_id").alias("root"), F.count("*").alias("n")).filter("n > 1")
+    linked = join_hot(roots.select("component", "set_key"), materialize(least_id, "least"), "component").select("set_key", "root")
+    out = sk.select("doc_id", "n_shingles", "set_key").join(linked, "set_key", "left")
+    # A doc_id that has several rows may have one without words, or one whose set another doc_id has too.
+    equal = classes.select("set_key", F.col("doc_id").alias("least_doc"))
+    out = out.join(equal, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "least_doc", "doc_id")).alias("component_id"))
+    repeated = out.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("own")).filter("rows > 1 and doc_id is not null").select("doc_id", "own")
+    out = out.join(repeated, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("own", "component_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

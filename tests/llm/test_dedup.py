@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 
-from attestor.llm import line_dedup as ld, minhash_dedup as md, substring_dedup as sd
+from attestor.llm import _common, line_dedup as ld, minhash_dedup as md, substring_dedup as sd
 
 from .conftest import make_docs
 
@@ -46,9 +46,26 @@ def test_near_duplicates_match_brute_force(docs):
     assert got == want
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows that share a doc_id are one document: a near copy of either links it."""
+    rnd = random.Random(12)
+    rows, want = [], {}
+    for k in range(12):
+        a, b = ([f"w{rnd.randrange(10**6)}" for _ in range(120)] for _ in range(2))
+        near = [[*x[:60], "other", *x[61:]] for x in (a, b)]
+        ids = (1000 - 10 * k, 1001 - 10 * k, 1002 - 10 * k)
+        # The first id has two texts; the others are near copies of one each.
+        rows += [(ids[0], " ".join(a)), (ids[0], " ".join(b)), (ids[0], None), (ids[1], " ".join(near[0])), (ids[2], " ".join(near[1]))]
+        want.update(dict.fromkeys(ids, ids[0]))
+    got = md.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 0.85).collect()
+    assert len(got) == len(rows) and {r["doc_id"]: r["component_id"] for r in got} == want
+    assert all(r["kept"] == (r["doc_id"] == want[r["doc_id"]]) for r in got)
+
+
 def test_near_duplicates_in_blocks(docs, monkeypatch):
     whole = sorted(map(str, md.near_duplicates(docs, 0.85).collect()))
     monkeypatch.setattr(md, "BLOCK", 4)
+    monkeypatch.setattr(_common, "HOT", 3)
     assert sorted(map(str, md.near_duplicates(docs, 0.85).collect())) == whole
 
 
@@ -152,7 +169,7 @@ def test_line_dedup_matches_brute_force(spark, monkeypatch):
         # Small blocks: buckets are dealt to parts, and hot lines are joined apart.
         monkeypatch.setattr(ld, "BLOCK", block)
         monkeypatch.setattr(ld, "SAMPLE", 64 if block > 2 else 1)
-        monkeypatch.setattr(ld, "HOT", 1000 if block > 2 else 2)
+        monkeypatch.setattr(_common, "HOT", 1000 if block > 2 else 2)
         got = {}
         for r in ld.line_dedup(df).collect():
             got[r["doc_id"]] = r["n_removed"]
