@@ -12,7 +12,7 @@ every feature votes everywhere, are all touched by any change.) The features of
 length: lines fall in classes by length, with twice the blocks in the next class, of which TABLES are looked at. A class
 begins at the threshold times the end of the one before, so two lines whose lengths allow the similarity share a class.
 A block of too few bytes says little and is no key. Of the lines in a bucket those are candidates whose lengths fit and
-whose whole SimHash, 128 bits of all words, differs in RADIUS bits at most.
+whose whole SimHash, 128 bits of all features, differs in RADIUS bits at most.
 
 Each line first meets its nearest candidate in each bucket; the links found are merged to groups. Then every pair of
 candidates that still lies in different groups is compared, where they meet; only links leave a task. Buckets over BLOCK
@@ -41,8 +41,8 @@ BLOCKS = (4, 8, 16, 8)
 LEAST = (4, 8, 8, 12)
 #: Words of more characters count as a quarter of their grams of 4.
 LONG_WORD = 16
-#: Bits of 128 in which the whole SimHashes of a candidate pair differ at most.
-RADIUS = 34
+#: Bits of 128 in which the whole SimHashes of a candidate pair differ at most; of lines under 4 * SHORT characters, which have few features.
+RADIUS, WIDE_RADIUS = 34, 46
 #: Edit distances of lines that differ in 64 * WIDE characters at most are taken many at a time, if there are MANY.
 WIDE, MANY = 8, 64
 #: Rows of a bucket that meet in one task; larger buckets are found in one of SAMPLE lines.
@@ -65,8 +65,24 @@ def bounds(c: int, threshold: float) -> tuple[int, int]:
     return (int(threshold * (SHORT << (c - 1))) if c else 0), SHORT << c
 
 
-def _features(lines: list[bytes], c: int):
-    """(hash, bytes, line) of each feature of non-empty lines of class c, by line."""
+def classes(size, threshold: float):
+    """(first, second) class of lines of these sizes; the second is -1 where there is one only."""
+    import numpy as np
+
+    ends = np.array([SHORT << c for c in range(40)])
+    first = np.searchsorted(ends, size, side="right")
+    return first, np.where(size >= (threshold * ends[first]).astype(np.int64), first + 1, -1)
+
+
+def gram(c):
+    """The characters of the grams of class c; 0 for words."""
+    import numpy as np
+
+    return np.append(GRAMS, 0)[np.minimum(c, len(GRAMS))]
+
+
+def _features(lines: list[bytes], k: int):
+    """(hash, bytes, line) of each feature of non-empty lines, by line: grams of k characters, or words."""
     import numpy as np
 
     buf = np.frombuffer(b"".join(lines), np.uint8)
@@ -79,8 +95,8 @@ def _features(lines: list[bytes], c: int):
         i = np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
         return at[i], at[np.minimum(i + k, np.repeat(end, n))], np.repeat(owner, n)
 
-    if c < len(GRAMS):
-        s, e, owner = grams(upto[off[:-1]], upto[off[1:]], np.arange(len(lines)), GRAMS[c])
+    if k:
+        s, e, owner = grams(upto[off[:-1]], upto[off[1:]], np.arange(len(lines)), k)
         cut = np.zeros(len(s), bool)
     else:
         s, e, counts = word_spans(buf, off)
@@ -124,36 +140,50 @@ def _majority(h, begin, weight=None):
     return out.view(U).ravel()
 
 
-def simhash_blocks(lines: list[bytes], c: int):
-    """((2, lines) words of the whole SimHash, line of each key, keys) of non-empty lines of class c."""
+def _deal(h, size, owner, c):
+    """(line of each key, keys) of features that are dealt to the blocks of their line's class, c (below 0: no keys)."""
     import numpy as np
 
-    h, size, owner = _features(lines, c)
-    whole = np.zeros((2, len(lines)), U)
-    if not len(h):
-        return whole, np.zeros(0, np.int64), np.zeros(0, U)
-    begin = np.flatnonzero(np.concatenate([[True], np.diff(owner) != 0]))
-    weight = np.clip(size >> 2, 1, 4)
-    whole[0][owner[begin]], whole[1][owner[begin]] = _majority(h, begin, weight), _majority(mix(h), begin, weight)
-    blocks = BLOCKS[c] if c < len(BLOCKS) else BLOCKS[-1] << (c - len(BLOCKS) + 1)
-    looked = min(blocks, TABLES)
-    owners, keys = [], []
-    for turn in range(TABLES // looked):
-        place = (mix(h + U(turn + 1)) >> U(33)).astype(np.int64) % blocks
-        at = np.flatnonzero(place < looked)
-        at = at[np.argsort(owner[at] * looked + place[at], kind="stable")]
+    blocks = np.where(c < len(BLOCKS), np.array(BLOCKS)[np.clip(c, 0, len(BLOCKS) - 1)], BLOCKS[-1] << np.maximum(c - len(BLOCKS) + 1, 0))
+    looked, least = np.minimum(blocks, TABLES), np.array(LEAST)[np.clip(c, 0, len(LEAST) - 1)]
+    owners, keys = [np.zeros(0, np.int64)], [np.zeros(0, U)]
+    for turn in range(TABLES):
+        at = np.flatnonzero(((c >= 0) & (turn < TABLES // looked))[owner])
         if not len(at):
-            continue
-        run = owner[at] * looked + place[at]
-        begin = np.flatnonzero(np.concatenate([[True], np.diff(run) != 0]))
-        enough = np.add.reduceat(size[at], begin) >= LEAST[min(c, len(LEAST) - 1)]
-        run, value = run[begin][enough], _majority(h[at], begin)[enough]
+            break
+        place = (mix(h[at] + U(turn + 1)) >> U(33)).astype(np.int64) % blocks[owner[at]]
+        near = place < looked[owner[at]]
+        at, place = at[near], place[near]
+        run = owner[at] * TABLES + place
+        order = np.argsort(run, kind="stable")
+        at, run = at[order], run[order]
+        begin = np.flatnonzero(np.diff(run, prepend=-1) != 0)
+        line = run[begin] // TABLES
+        enough = np.add.reduceat(size[at], begin) >= least[line] if len(at) else np.zeros(0, bool)
+        value, line = _majority(h[at], begin)[enough] if len(at) else np.zeros(0, U), line[enough]
         with np.errstate(over="ignore"):
-            keys.append(mix(value + mix((run % looked + turn * 64 + c * 4096).astype(U))))
-        owners.append(run // looked)
-    if not keys:
-        return whole, np.zeros(0, np.int64), np.zeros(0, U)
-    return whole, np.concatenate(owners), np.concatenate(keys)
+            keys.append(mix(value + mix((run[begin][enough] % TABLES + turn * 64 + c[line] * 4096).astype(U))))
+        owners.append(line)
+    return np.concatenate(owners), np.concatenate(keys)
+
+
+def _whole(h, size, owner, n: int):
+    """The (2, n) words of the whole SimHash of each line; longer words weigh more."""
+    import numpy as np
+
+    out = np.zeros((2, n), U)
+    if len(h):
+        begin, weight = np.flatnonzero(np.diff(owner, prepend=-1) != 0), np.clip(size >> 2, 1, 4)
+        out[0][owner[begin]], out[1][owner[begin]] = _majority(h, begin, weight), _majority(mix(h), begin, weight)
+    return out
+
+
+def simhash_blocks(lines: list[bytes], c: int):
+    """((2, lines) words of the whole SimHash, line of each key, keys) of non-empty lines of class c."""
+    import numpy as np
+
+    found = _features(lines, int(gram(c)))
+    return _whole(*found, len(lines)), *_deal(*found, np.full(len(lines), c))
 
 
 def trimmed(a, b):
@@ -308,42 +338,31 @@ def _scan(threshold: float):
                 continue
             lines = list(place)
             size = np.array([_size(x) for x in lines])
-            found, c = [], 0
-            while bounds(c, threshold)[0] <= size.max():
-                low, end = bounds(c, threshold)
-                at = np.flatnonzero((size >= low) & (size < end))
-                if len(at):
-                    whole, owner, keys = simhash_blocks([lines[k] for k in at], c)
-                    order = np.argsort(owner, kind="stable")
-                    cuts = np.searchsorted(owner[order], np.arange(len(at) + 1))
-                    found.append((at, whole, cuts, keys[order].view(np.int64)))
-                c += 1
-            sides = []
-            for turn in range(2):
-                # A line is in one class, or in two that follow each other.
-                whole, keys, n = np.zeros((2, len(lines)), U), [None] * len(lines), np.zeros(len(lines), np.int64)
-                for k, (at, w, cuts, ks) in enumerate(found):
-                    mine = np.ones(len(at), bool) if not k else ~np.isin(at, found[k - 1][0])
-                    mine = np.flatnonzero(~mine if turn else mine)
-                    whole[:, at[mine]] = w[:, mine]
-                    for j in mine.tolist():
-                        keys[at[j]] = ks[cuts[j] : cuts[j + 1]]
-                        n[at[j]] = cuts[j + 1] - cuts[j]
-                sides.append((whole.view(np.int64), keys, n))
+            sides = [(c, gram(c), np.zeros((2, len(lines)), U), []) for c in classes(size, threshold)]
+            for k in {*GRAMS, 0}:
+                mine = [(c >= 0) & (g == k) for c, g, _, _ in sides]
+                at = np.flatnonzero(mine[0] | mine[1])
+                if not len(at):
+                    continue
+                found = _features([lines[j] for j in at], k)
+                whole = _whole(*found, len(at))
+                for (c, _, all_whole, keys), has in zip(sides, mine):
+                    all_whole[:, at[has[at]]] = whole[:, has[at]]
+                    line, key = _deal(*found, np.where(has[at], c[at], -1))
+                    keys.append((at[line], key))
             docs, nth, of = (np.array(v, np.int64) for v in zip(*spots))
-            # All but spots and digests once per line of the slice.
-            last = np.zeros(len(spots), bool)
-            last[np.unique(of, return_index=True)[1]] = True
+            # Keys stand with the first place of a line in the slice only; lines are numbered by that.
+            first = np.zeros(len(of), bool)
+            first[np.unique(of, return_index=True)[1]] = True
             digests = [_digest(x) for x in lines]
             cols = [batch.column(0).take(pa.array(docs)), batch.column(1).take(pa.array(docs)), pa.array(nth, pa.int32()), pa.array([digests[k] for k in of], pa.binary()), pa.array(size[of], pa.int32())]
-            for whole, keys, n in sides:
-                mine = np.where(last, n[of], 0)
-                flat = [keys[k] for k in of[last] if keys[k] is not None and len(keys[k])]
-                values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64))
-                ends = pa.array(np.concatenate([[0], np.cumsum(mine)]).astype(np.int32))
-                cols += [pa.array(whole[0][of]), pa.array(whole[1][of]), pa.ListArray.from_arrays(ends, values)]
-            names = [x.split()[0] for x in SCAN.split(", ")]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            for _, _, whole, keys in sides:
+                line, key = (np.concatenate(v) for v in zip(*keys))
+                n = np.bincount(line, minlength=len(lines))
+                ends = np.concatenate([[0], np.cumsum(np.where(first, n[of], 0))]).astype(np.int32)
+                values = key[np.argsort(line, kind="stable")].view(np.int64)
+                cols += [pa.array(whole[0][of].view(np.int64)), pa.array(whole[1][of].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
+            yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SCAN.split(", ")])
 
     return run
 
@@ -390,7 +409,7 @@ def _candidates(g, threshold: float):
         i = i[(g["cell"][i] == g["cell"][j]) & (size[i] >= threshold * size[j] - 1e-9)]
         j = i + lag
         far = np.bitwise_count(s0[i] ^ s0[j]).astype(np.int64) + np.bitwise_count(s1[i] ^ s1[j])
-        near = np.flatnonzero(far <= RADIUS)
+        near = np.flatnonzero(far <= np.where(size[j] < 4 * SHORT, WIDE_RADIUS, RADIUS))
         if len(near):
             yield i[near], j[near], far[near]
         lag += 1

@@ -95,8 +95,8 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
     return {s: n for s, n in take.items() if n}
 
 
-def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, stop: float = STOP, seed: int = 0) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies) for each row of docs(doc_id, text, source).
+def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, stop: float = STOP, seed: int = 0, carry: tuple = ()) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, copies, and the columns to carry) for each row of docs(doc_id, text, source).
 
     size: words [^\\x20\\x09-\\x0D]+ of the text (null: 0). Sources in code point order, null last, have the weights,
     repeated; together they share `share` times all words; a target stops at `stop` times the size of its source and
@@ -114,6 +114,7 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes), stop)
     plan = [(r["source"], s, float(t), int(t // s) if s else 0) for r, s, t in zip(per_source, sizes, targets)]
     spark = docs.sparkSession
+    # One row per source: its name and four numbers.
     sources = spark.createDataFrame(plan, "source string, source_size long, target double, whole int")
 
     counts = base.filter("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
@@ -145,4 +146,10 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     out = ranked.unionByName(rows.filter(~split).withColumn("extra", (F.col("most") > 0).cast("int")))
     out = out.alias("o").join(F.broadcast(sources).alias("s"), F.col("o.source").eqNullSafe(F.col("s.source")))
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(0)
-    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.cast("int").alias("copies"))
+    out = out.select("doc_id", "h", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.cast("int").alias("copies"))
+    if not carry:
+        return out.drop("h")
+    # Equal rows are one here, so each row of the mix finds its columns once.
+    rows = docs.select("doc_id", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), F.struct(*carry).alias("v")).groupBy("doc_id", "h").agg(F.first("v").alias("v"))
+    found = out.alias("o").join(rows.alias("r"), F.col("o.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("o.h") == F.col("r.h")))
+    return found.select(*(F.col(f"o.{c}") for c in out.columns if c != "h"), *(F.col(f"r.v.`{c}`").alias(c) for c in carry))
