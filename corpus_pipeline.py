@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over documents, each built on one operator of attestor.llm.
 
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns the columns of documents;
-the last adds what the mix takes. Rows with a null doc_id pass the filters by their text like any other row.
+the last adds what the mix takes to them. Rows with a null doc_id pass the filters by their text like any other row.
 """
 
 from __future__ import annotations
@@ -31,7 +31,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated lines from texts; n_chars follows the text. A document whose every line repeats others goes with them."""
+    """Removes repeated lines from texts; n_chars follows the text. A document whose every line repeats others goes with them.
+
+    A null text stays null and an empty one empty; both documents stay.
+    """
     done = line_dedup(docs, threshold=0.8, carry=("lang", "source"))
     done = done.filter(~((F.col("n_removed") > 0) & (F.trim(F.replace("kept", F.lit("\n"), F.lit(" "))) == "")))
     return done.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
@@ -45,15 +48,16 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that overlap an item of the benchmark."""
-    found = materialize(contamination(docs, _table(spark, sf_dir, "benchmark")).filter("contaminated").select("row_key").distinct(), "leaks")
+    found = contamination(docs, _table(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id").alias("id"), F.col("row_key").alias("key")).distinct()
+    found = broadcast_if_small(materialize(found, "leaks"))
     rows = docs.select(*COLUMNS).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    return rows.join(broadcast_if_small(found), "row_key", "left_anti").select(*COLUMNS)
+    return rows.join(found, (F.col("row_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_anti").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the size of each document and the words that the mix of sources takes of it (repeats counted)."""
-    mixed = mix_sources(docs, weights=(3, 1, 2), share=1.5, stop=2.0, seed=7)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+    """Adds the size of each document and the words that the mix of sources takes of it (repeats counted) to the columns of documents."""
+    mixed = mix_sources(docs, weights=(3, 1, 2), share=1.5, stop=2.0, seed=7, carry=COLUMNS[1:])
+    return mixed.select(*COLUMNS, "size", "source_size", "target", "taken", "copies")
 
 
 STAGES = [
