@@ -7,19 +7,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def _head(before, body):
+    return F.sha2(F.concat(F.coalesce(before, F.lit("")), F.coalesce(body, F.lit(""))).cast("binary"), 256)
+
+
 def chain(events: DataFrame, key: str, order: str, body: str) -> DataFrame:
-    """events with link: SHA-256 of the previous row's digest and the row's body; each link looks one row back."""
-    w = W.partitionBy(key).orderBy(order)
-    own = F.sha2(F.col(body).cast("binary"), 256)
-    d = events.withColumn("digest", own)
-    return d.withColumn("link", F.sha2(F.concat(F.coalesce(F.lag("digest").over(w), F.lit("")), F.col(body)).cast("binary"), 256))
+    """events with link: SHA-256 of the link before it and the row's body, from "" on, along `order` within `key`.
+
+    A link needs the one before it, so each key is folded in order, row by row as its rows stream past; a null body is empty.
+    """
+    columns = events.columns
+
+    def fold(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        at, head = None, ""
+        for batch in batches:
+            keys, links = batch.column(columns.index(key)).to_pylist(), []
+            for k, b in zip(keys, batch.column(columns.index(body)).to_pylist()):
+                if not links and at is None or k != at[0]:
+                    at, head = (k,), ""
+                head = hashlib.sha256((head + (b or "")).encode()).hexdigest()
+                links.append(head)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(links, pa.string())], names=[*columns, "link"])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in events.dtypes) + ", link string"
+    return events.repartition(key).sortWithinPartitions(key, order).mapInArrow(fold, schema)
 
 
 def verify_chain(stored: DataFrame, key: str, order: str, body: str) -> DataFrame:
-    """(key, n, first_broken, head): stored(key, order, body, link) recomputed; null first_broken is an intact chain."""
-    again = chain(stored.drop("link"), key, order, body).select(key, order, F.col("link").alias("_link"))
-    j = stored.join(again, [key, order])
-    return j.groupBy(key).agg(F.count("*").alias("n"), F.min(F.when(F.col("link") != F.col("_link"), F.col(order))).alias("first_broken"), F.max_by("link", order).alias("head"))
+    """(key, n, first_broken, head): each stored link checked against the stored link before it; null first_broken is an intact chain."""
+    w = W.partitionBy(key).orderBy(order)
+    s = stored.withColumn("_ok", F.col("link").eqNullSafe(_head(F.lag("link").over(w), F.col(body))))
+    return s.groupBy(key).agg(F.count("*").alias("n"), F.min(F.when(~F.col("_ok"), F.col(order))).alias("first_broken"), F.max_by("link", order).alias("head"))
 
 
 def ledger(moves: DataFrame, account: str, order: str, units: str, cap: float) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Rules as tables: patterns joined to texts by broadcast, spans, masks, weighted scores, checklists."""
+"""Rules as constants: literal patterns in one projection over the texts, spans, masks, weighted scores, checklists."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -30,22 +30,35 @@ RULES = (
 )
 
 
-def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), "rule_id string, pattern string, weight double, category string")
-
-
-def rule_findings(units: DataFrame, rules: DataFrame, *keys: str) -> DataFrame:
-    """(keys, rule_id, category, weight, hits): each rule that matches a unit's text; rules are a small table and broadcast."""
-    hit = units.join(F.broadcast(rules), F.rlike("text", F.col("pattern")))
-    return hit.select(*keys, "rule_id", "category", "weight", F.regexp_count("text", F.col("pattern")).cast("long").alias("hits"))
+def rule_findings(units: DataFrame, *keys: str, rules=RULES) -> DataFrame:
+    """(keys, rule_id, category, weight, hits): each rule that matches a unit's text, in one pass; patterns are compiled once."""
+    hits = (F.when(F.col("text").rlike(p), F.regexp_count("text", F.lit(p))).otherwise(0).cast("long") for _, p, _, _ in rules)
+    found = F.array(*(F.struct(F.lit(r).alias("rule_id"), F.lit(c).alias("category"), F.lit(float(w)).alias("weight"), n.alias("hits")) for (r, _, w, c), n in zip(rules, hits)))
+    return units.select(*keys, F.inline(found)).filter("hits > 0")
 
 
 def pii_spans(docs: DataFrame, kinds=None) -> DataFrame:
-    """(doc_id, kind, value, start, stop) of each match, by first place of its value in the text; covered spans are dropped."""
+    """(doc_id, kind, value, start, stop) of each match of each kind, every occurrence; covered spans are dropped.
+
+    The places follow from the pieces between the matches, so the text itself never leaves its row.
+    """
     kinds = kinds or PII
-    found = F.array(*(F.struct(F.lit(k).alias("kind"), F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias("values")) for k, p in kinds.items()))
-    s = docs.select("doc_id", "text", F.explode(found).alias("f")).select("doc_id", "text", "f.kind", F.explode("f.values").alias("value"))
-    s = s.select("doc_id", "kind", "value", F.instr("text", F.col("value")).alias("start")).withColumn("stop", F.col("start") + F.length("value"))
+
+    def spans(kind, pattern):
+        value = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+        pair = F.zip_with(value, F.slice(F.split("text", pattern), 1, F.size(value)), lambda v, p: F.struct(v.alias("v"), F.length(p).alias("gap")))
+        none = F.lit(None).cast("array<struct<kind:string,value:string,start:int,stop:int>>")
+
+        def step(acc, x):
+            start = acc["at"] + x["gap"]
+            stop = start + F.length(x["v"])
+            return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), x["v"].alias("value"), start.alias("start"), stop.alias("stop")))).alias("out"))
+
+        empty = F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<struct<kind:string,value:string,start:int,stop:int>>)").alias("out"))
+        return F.when(F.col("text").rlike(pattern), F.aggregate(pair, empty, step, lambda acc: acc["out"])).otherwise(none)
+
+    found = F.array(*(spans(k, p) for k, p in kinds.items()))
+    s = docs.select("doc_id", F.explode(F.flatten(F.filter(found, lambda x: x.isNotNull()))).alias("s")).select("doc_id", "s.*")
     from .text import cover_dedupe
 
     return cover_dedupe(s, "doc_id")
@@ -58,11 +71,21 @@ def mask_pii(text, kinds=None):
     return text
 
 
-def pseudonyms(spans: DataFrame) -> DataFrame:
-    """(kind, value, pseudonym): numbered per kind by first occurrence (doc_id, then place)."""
+def numbered(rows: DataFrame, group: list[str], block, order: list) -> DataFrame:
+    """rows with number: 1, 2, ... along (block, order) within the group. Each block is ranked by itself; only counts per block run over a group."""
+    b = rows.withColumn("_block", block)
+    counts = b.groupBy(*group, "_block").agg(F.count("*").alias("_n"))
+    w = W.partitionBy(*(group or [F.lit(0)])).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    n = F.row_number().over(W.partitionBy(*group, "_block").orderBy(*order))
+    return b.join(before, [*group, "_block"]).withColumn("number", F.col("_before") + n).drop("_block", "_before")
+
+
+def pseudonyms(spans: DataFrame, block: int = 4096) -> DataFrame:
+    """(kind, value, pseudonym): numbered per kind by first occurrence (doc_id, then place), `block` doc_ids at a time."""
     first = spans.groupBy("kind", "value").agg(F.min(F.struct("doc_id", "start")).alias("at"))
-    n = F.row_number().over(W.partitionBy("kind").orderBy("at", "value"))
-    return first.select("kind", "value", F.concat(F.upper("kind"), F.lit("_"), F.lpad(n.cast("string"), 4, "0")).alias("pseudonym"))
+    n = numbered(first, ["kind"], F.floor(F.col("at.doc_id") / block), ["at", "value"])
+    return n.select("kind", "value", F.concat(F.upper("kind"), F.lit("_"), F.lpad(F.col("number").cast("string"), 4, "0")).alias("pseudonym"))
 
 
 def injection_class(findings: DataFrame, *keys: str) -> DataFrame:
@@ -72,9 +95,10 @@ def injection_class(findings: DataFrame, *keys: str) -> DataFrame:
     return g.select(*keys, F.round("s", 4).alias("score"), "n_rules", v.alias("verdict"))
 
 
-def checklist_gaps(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item): items(item, trigger, mention) whose trigger a document has and whose mention it lacks."""
-    return docs.join(F.broadcast(items), F.rlike("text", F.col("trigger")) & ~F.rlike("text", F.col("mention"))).select("doc_id", "item")
+def checklist_gaps(docs: DataFrame, items) -> DataFrame:
+    """(doc_id, item): items (item, trigger, mention) whose trigger a document has and whose mention it lacks; patterns are literals."""
+    missing = F.array(*(F.when(F.col("text").rlike(t) & ~F.col("text").rlike(m), F.lit(i)) for i, t, m in items))
+    return docs.select("doc_id", F.explode(F.filter(missing, lambda x: x.isNotNull())).alias("item"))
 
 
 def ratio_by_sentence(docs: DataFrame, pattern: str, least: int = 8) -> DataFrame:

@@ -70,3 +70,14 @@ def split_leaks(items: DataFrame, key: str, split: str) -> DataFrame:
 def top_per_group(df: DataFrame, by: list[str], order: list, k: int, name: str = "rank") -> DataFrame:
     """The first k rows of each group; Spark limits groups before the shuffle."""
     return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col(name) <= k)
+
+
+def modal_outliers(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, usual, outliers, suspicious): the commonest value per key (the least of several) and the rows that depart from it.
+
+    Departures are suspicious where they are few: two, or a quarter of at least three rows. Null values are a value.
+    """
+    k = rows.groupBy(key, value).agg(F.count("*").alias("n"))
+    m = k.groupBy(key).agg(F.max_by(value, F.struct("n", -F.col(value))).alias("usual"), F.sum("n").alias("n"), F.max("n").alias("_common"))
+    out = F.col("n") - F.col("_common")
+    return m.select(key, "n", "usual", out.alias("outliers"), ((F.col("n") >= 3) & (out > 0) & (out <= F.greatest(F.lit(2), F.floor(F.col("n") / 4)))).alias("suspicious"))

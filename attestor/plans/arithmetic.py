@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from attestor.functions import dates as D
-from attestor.operators import audit
+from attestor.operators import arithmetic as ops, audit
 
 from ._base import Registry, table
 
@@ -109,11 +109,11 @@ def quorum(spark, d):
     return v.withColumn("quorum", F.when(F.col("yes") + F.col("no") == 0, F.lit(None)).when(F.col("yes") * 3 > F.col("n"), True).when((F.col("n") - F.col("no")) * 3 <= F.col("n"), False))
 
 
-@R.add("SELECT l_orderkey, l_partkey, l_suppkey, round(floor(l_extendedprice::DECIMAL(18,4)), 0)::DOUBLE AS floor_, ceil(l_extendedprice::DECIMAL(18,4))::DOUBLE AS ceil_, round(l_extendedprice::DECIMAL(18,4), 0)::DOUBLE AS half_up, round(trunc(l_extendedprice::DECIMAL(18,4)), 0)::DOUBLE AS cut FROM lineitem WHERE l_orderkey < 200")
+@R.add("SELECT l_orderkey, l_partkey, l_suppkey, round(floor(l_extendedprice::DECIMAL(18,4)), 0)::DOUBLE AS floor_, ceil(l_extendedprice::DECIMAL(18,4))::DOUBLE AS ceil_, round(l_extendedprice::DECIMAL(18,4), 0)::DOUBLE AS half_up, round(trunc(l_extendedprice::DECIMAL(18,4)), 0)::DOUBLE AS cut FROM lineitem")
 def rounding_modes(spark, d):
     m = F.col("l_extendedprice").cast("decimal(18,4)")
     r = lambda k: D.round_mode(m, k).cast("double")
-    return table(spark, d, "lineitem").filter("l_orderkey < 200").select("l_orderkey", "l_partkey", "l_suppkey", r("FLOOR").alias("floor_"), r("CEIL").alias("ceil_"), r("HALF_UP").alias("half_up"), r("TRUNCATE").alias("cut"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", r("FLOOR").alias("floor_"), r("CEIL").alias("ceil_"), r("HALF_UP").alias("half_up"), r("TRUNCATE").alias("cut"))
 
 
 @R.add("""WITH c AS (SELECT l_orderkey, round(l_extendedprice * (1 - l_discount), 6) AS net, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS gross, l_discount, l_tax, l_extendedprice FROM lineitem)
@@ -124,7 +124,18 @@ def formula_check(spark, d):
     return c.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("gross") - F.col("net") * (1 + F.col("l_tax"))) <= 0.0001).alias("tax_ok"), F.count_if(F.col("net") <= F.col("l_extendedprice")).alias("net_ok"))
 
 
-@R.add("""SELECT l_returnflag, l_linestatus, sum(l_quantity)::DOUBLE AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
+# A table per customer: its orders by key, a subtotal after every fifth, a total at the end; some totals are wrong.
+CELLS = """o AS (SELECT o_custkey AS t, o_orderkey, o_totalprice::DECIMAL(18,2) AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS of FROM orders),
+totals AS (SELECT t, n, 'SUBTOTAL' AS kind, (n + (n // 5))::INT AS row, sum(v) OVER (PARTITION BY t, (n - 1) // 5) AS computed FROM o QUALIFY n % 5 = 0 UNION ALL SELECT t, max(of), 'TOTAL', (max(of) + max(of) // 5 + 1)::INT, sum(v) FROM o GROUP BY t)"""
+
+
+@R.add(f"""WITH {CELLS}, x AS (SELECT *, computed + CASE WHEN t % 7 = 0 AND kind = 'TOTAL' THEN 1 ELSE 0 END AS stated FROM totals) SELECT t AS o_custkey, row, kind, stated::DOUBLE AS stated, computed::DOUBLE AS computed, stated = computed AS ok FROM x""")
 def table_totals(spark, d):
-    l = table(spark, d, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
-    return l.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"))
+    w = W.partitionBy("t").orderBy("o_orderkey")
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("t"), "o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("v")).withColumn("n", F.row_number().over(w))
+    block = F.floor((F.col("n") - 1) / 5)
+    details = o.select("t", (F.col("n") + block).cast("int").alias("row"), F.lit("order").alias("label"), F.col("v").cast("decimal(20,2)").alias("value"))
+    subs = o.groupBy("t", block.alias("b")).agg(F.count("*").alias("c"), F.sum("v").alias("value")).filter("c = 5").select("t", ((F.col("b") + 1) * 6).cast("int").alias("row"), F.lit("Subtotal").alias("label"), F.col("value").cast("decimal(20,2)").alias("value"))
+    end = o.groupBy("t").agg(F.max("n").alias("c"), F.sum("v").alias("value")).select("t", (F.col("c") + F.floor(F.col("c") / 5) + 1).cast("int").alias("row"), F.lit("Total").alias("label"), (F.col("value") + F.when(F.col("t") % 7 == 0, 1).otherwise(0)).cast("decimal(20,2)").alias("value"))
+    got = ops.total_rows(details.unionByName(subs).unionByName(end), "t", "row", "label", "value")
+    return got.select(F.col("t").alias("o_custkey"), "row", "kind", F.col("stated").cast("double").alias("stated"), F.col("computed").cast("double").alias("computed"), "ok")

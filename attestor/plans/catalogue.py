@@ -23,7 +23,7 @@ for _name in MODULES:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to blocks to rule findings to a capped risk index and gate per document, beside the quality label."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = rules.rule_findings(text.blocks(docs), rules.rule_table(spark), "doc_id", "block_no")
+    found = rules.rule_findings(text.blocks(docs), "doc_id", "block_no")
     risk = found.groupBy("doc_id").agg(F.least(F.lit(100.0), F.sum(F.col("weight") * F.least("hits", F.lit(5)))).alias("risk"), F.countDistinct("rule_id").alias("n_rules"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = docs.select("doc_id").join(risk, "doc_id", "left").join(labels, "doc_id", "left")

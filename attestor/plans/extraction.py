@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from attestor.functions import parse as P
-from attestor.operators import scoring, similarity, sinks, text as text_ops
+from attestor.operators import joins, scoring, similarity, sinks, text as text_ops
 
 from ._base import BLOCKS, EVENT_K, SENTENCES, Registry, table
 
@@ -111,9 +111,9 @@ def unreviewed(spark, d):
     return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@R.add("""WITH n AS (SELECT doc_id * 2 AS doc_id FROM documents WHERE doc_id < 300) SELECT doc_id FROM n WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+@R.add("""WITH n AS (SELECT doc_id * 2 AS doc_id FROM documents) SELECT doc_id FROM n WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def insert_absent(spark, d):
-    new = table(spark, d, "documents").filter("doc_id < 300").select((F.col("doc_id") * 2).alias("doc_id"))
+    new = table(spark, d, "documents").select((F.col("doc_id") * 2).alias("doc_id"))
     return sinks.insert_absent(new, table(spark, d, "labels"), "doc_id")
 
 
@@ -122,9 +122,9 @@ def custody_manifest(spark, d):
     return sinks.manifest(table(spark, d, "events").filter("event_type <> 'click'"), "user_id", "event_id", "event_type")
 
 
-@R.add("""SELECT l_orderkey, l_partkey, l_suppkey, l_quantity FROM lineitem WHERE l_orderkey < 500""")
+@R.add("""SELECT l_orderkey, l_partkey, l_suppkey, l_quantity FROM lineitem""")
 def nested_flatten(spark, d):
-    l = table(spark, d, "lineitem").filter("l_orderkey < 500")
+    l = table(spark, d, "lineitem")
     nested = l.groupBy("l_orderkey").agg(F.to_json(F.struct(F.collect_list(F.struct("l_partkey", F.struct("l_suppkey", "l_quantity").alias("by"))).alias("lines"))).alias("payload"))
     back = nested.select("l_orderkey", F.from_json("payload", "struct<lines:array<struct<l_partkey:bigint,by:struct<l_suppkey:bigint,l_quantity:double>>>>").alias("p"))
     return back.select("l_orderkey", F.explode("p.lines").alias("x")).select("l_orderkey", "x.l_partkey", "x.by.l_suppkey", "x.by.l_quantity")
@@ -154,9 +154,13 @@ def version_outcomes(spark, d):
     return table(spark, d, "orders").select("o_orderkey", around.alias("a")).select("o_orderkey", (F.size(F.array_distinct(F.filter("a", lambda x: x.isNotNull()))) > 1).alias("differs"))
 
 
-@R.add("""WITH m AS (SELECT source, mode(n_chars // 1000) AS usual FROM documents GROUP BY 1) SELECT source, count(*) AS n, count(*) FILTER (WHERE length(text) > 10000) AS outliers FROM documents GROUP BY 1""")
+# Outliers from the usual size of a source (in steps of 256 characters) count only if they are few: a quarter, or two.
+@R.add("""WITH k AS (SELECT source, length(text) // 256 AS size, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1, 2),
+m AS (SELECT source, arg_max(size, {'n': n, 'size': -size}) AS usual, sum(n) AS n, max(n) AS common FROM k GROUP BY 1)
+SELECT source, n::BIGINT AS n, usual, (n - common)::BIGINT AS outliers, n >= 3 AND n > common AND n - common <= greatest(2, n // 4) AS suspicious FROM m""")
 def forensic_outliers(spark, d):
-    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.length("text") > 10000).alias("outliers"))
+    docs = table(spark, d, "documents").filter("text is not null").select("source", F.floor(F.length("text") / 256).cast("long").alias("size"))
+    return scoring.modal_outliers(docs, "source", "size")
 
 
 @R.add(f"""WITH e AS (SELECT user_id, event_id, {EVENT_K} AS k FROM events), s AS (SELECT *, k = lag(k) OVER (PARTITION BY user_id ORDER BY event_id) + 1 AS cont FROM e) SELECT user_id, count(*) AS n, count(*) FILTER (WHERE cont) AS continued FROM s GROUP BY 1""")
@@ -214,13 +218,14 @@ def nfkc_normalize(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(similarity.nfkc("text").cast("binary")).alias("digest"))
 
 
-@R.add(f"""WITH {BLOCKS}, q AS (SELECT item_id, regexp_replace(text, '[ \\n]+', ' ', 'g') AS quote FROM benchmark WHERE item_id % 2 = 0), n AS (SELECT doc_id, regexp_replace(text, '[ \\n]+', ' ', 'g') AS t FROM documents)
+@R.add("""WITH q AS (SELECT item_id, regexp_replace(text, '[ \\n]+', ' ', 'g') AS quote FROM benchmark), n AS (SELECT doc_id, regexp_replace(text, '[ \\n]+', ' ', 'g') AS t FROM documents)
 SELECT item_id, count(*) FILTER (WHERE contains(t, quote)) AS exact, count(*) FILTER (WHERE NOT contains(t, quote) AND contains(t, substr(quote, 1, 60))) AS truncated FROM q, n GROUP BY 1""")
 def quote_check(spark, d):
     squash = lambda c: F.regexp_replace(c, "[ \n]+", " ")
-    q = table(spark, d, "benchmark").filter("item_id % 2 = 0").select("item_id", squash("text").alias("quote"))
-    t = table(spark, d, "documents").select(squash("text").alias("t"))
-    # The quotes are a stated query set; each document is read once against all of them.
-    j = q.join(t, F.col("t").contains(F.substring("quote", 1, 60)), "left")
-    whole = F.col("t").contains(F.col("quote"))
-    return j.groupBy("item_id").agg(F.count_if(whole).alias("exact"), F.count_if(F.col("t").isNotNull() & ~whole).alias("truncated"))
+    q = table(spark, d, "benchmark").select("item_id", squash("text").alias("quote"))
+    docs = table(spark, d, "documents").select("doc_id", squash("text").alias("text"))
+    # Documents that hold the first 60 characters are found by their words; only those are read again.
+    near = joins.contained(docs, q.select("item_id", F.substring("quote", 1, 60).alias("text")))
+    found = near.join(q, "item_id").join(docs, "doc_id").groupBy("item_id").agg(F.count_if(F.col("text").contains(F.col("quote"))).alias("exact"), F.count("*").alias("all"))
+    found = q.select("item_id").join(found, "item_id", "left")
+    return found.select("item_id", F.coalesce("exact", F.lit(0)).alias("exact"), F.coalesce(F.col("all") - F.col("exact"), F.lit(0)).alias("truncated"))

@@ -16,14 +16,13 @@ def _q(p: str) -> str:
     return "'" + p.replace("'", "''") + "'"
 
 
-RULE_SQL = "rules(rule_id, pattern, weight, category) AS (VALUES " + ", ".join(f"({_q(r)}, {_q(p)}, {w}::DOUBLE, {_q(c)})" for r, p, w, c in ops.RULES) + ")"
 # Patterns must be constants for the oracle's regular expressions.
 HITS_SQL = " UNION ALL ".join(f"SELECT doc_id, block_no, {_q(r)} AS rule_id, {_q(c)} AS category, {w}::DOUBLE AS weight, len(regexp_extract_all(text, {_q(p)})) AS hits FROM blocks WHERE regexp_matches(text, {_q(p)})" for r, p, w, c in ops.RULES)
 FOUND_SQL = f"WITH {BLOCKS}, f AS ({HITS_SQL})"
 
 
 def findings(spark, d):
-    return ops.rule_findings(text_ops.blocks(table(spark, d, "documents")), ops.rule_table(spark), "doc_id", "block_no")
+    return ops.rule_findings(text_ops.blocks(table(spark, d, "documents")), "doc_id", "block_no")
 
 
 @R.add(FOUND_SQL + " SELECT doc_id, block_no, rule_id, category, weight, hits FROM f")
@@ -43,7 +42,13 @@ def residue_categories(spark, d):
 
 
 PII_SQL = " UNION ALL ".join(f"SELECT doc_id, text, '{k}' AS kind, unnest(list_distinct(regexp_extract_all(text, {_q(p)}))) AS value FROM documents" for k, p in ops.PII.items())
-SPAN_SQL = f"""WITH p AS ({PII_SQL}), s AS (SELECT doc_id, kind, value, instr(text, value)::INT AS start, (instr(text, value) + length(value))::INT AS stop FROM p),
+# The place of the i-th match: all pieces up to it and all matches before it.
+PLACE_SQL = " UNION ALL ".join(
+    f"SELECT doc_id, '{k}' AS kind, regexp_extract_all(text, {_q(p)}) AS m, string_split_regex(text, {_q(p)}) AS g FROM documents WHERE regexp_matches(text, {_q(p)})" for k, p in ops.PII.items()
+)
+SPAN_SQL = f"""WITH m AS ({PLACE_SQL}), i AS (SELECT doc_id, kind, m, g, unnest(range(1, len(m) + 1)) AS i FROM m),
+s AS (SELECT doc_id, kind, m[i] AS value, (1 + list_sum([length(x) FOR x IN g[1:i]]) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0))::INT AS start,
+(1 + list_sum([length(x) FOR x IN g[1:i]]) + list_sum([length(x) FOR x IN m[1:i]]))::INT AS stop FROM i),
 r AS (SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop DESC, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
 spans AS (SELECT doc_id, kind, value, start, stop FROM r WHERE reach IS NULL OR stop > reach)"""
 
@@ -92,7 +97,7 @@ def check_digits(spark, d):
 @R.add("""WITH items(item, trig, mention) AS (VALUES ('licence_name', '[Ll]icen[sc]e', '(MIT|Apache|GNU|CC|BSD)'), ('token_value', 'token', '[0-9a-f]{24,}'), ('line_break', 'the', chr(10)))
 SELECT doc_id, item FROM documents, items WHERE regexp_matches(text, trig) AND NOT regexp_matches(text, mention)""")
 def omission_checklist(spark, d):
-    items = spark.createDataFrame([("licence_name", "[Ll]icen[sc]e", "(MIT|Apache|GNU|CC|BSD)"), ("token_value", "token", "[0-9a-f]{24,}"), ("line_break", "the", "\n")], "item string, trigger string, mention string")
+    items = [("licence_name", "[Ll]icen[sc]e", "(MIT|Apache|GNU|CC|BSD)"), ("token_value", "token", "[0-9a-f]{24,}"), ("line_break", "the", "\n")]
     return ops.checklist_gaps(table(spark, d, "documents"), items)
 
 

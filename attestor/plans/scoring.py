@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestor.operators import scoring as ops
+from attestor.operators import rules, scoring as ops
 
 from ._base import EVENT_K, Registry, table
 
@@ -37,12 +37,12 @@ def risk_index(spark, d):
 
 
 @R.add(f"""WITH {RISK_SQL}, f AS (SELECT user_id, bool_or(hard AND status = 'FAILED') AS hard, count(*) FILTER (WHERE status = 'UNVERIFIED') AS unverified FROM findings GROUP BY 1),
-c AS (SELECT c_custkey AS user_id FROM customer WHERE c_custkey <= 200)
+c AS (SELECT c_custkey AS user_id FROM customer)
 SELECT user_id, CASE WHEN risk IS NULL THEN 'NOT_ASSESSED' WHEN hard OR risk >= 70 THEN 'BLOCK' WHEN risk >= 40 OR unverified > 0 THEN 'REVIEW' WHEN risk >= 1 THEN 'CAUTION' ELSE 'PASS' END AS gate FROM c LEFT JOIN risk USING (user_id) LEFT JOIN f USING (user_id)""")
 def release_gate(spark, d):
     f = findings(spark, d)
     g = f.groupBy("user_id").agg(F.bool_or(F.col("hard") & (F.col("status") == "FAILED")).alias("hard"), F.count_if(F.col("status") == "UNVERIFIED").alias("unverified"))
-    c = table(spark, d, "customer").filter("c_custkey <= 200").select(F.col("c_custkey").alias("user_id"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
     j = c.join(ops.risk_index(f, weights(spark), "user_id"), "user_id", "left").join(g, "user_id", "left")
     return j.select("user_id", ops.gate(F.col("risk"), F.col("hard"), F.col("unverified")).alias("gate"))
 
@@ -94,17 +94,14 @@ def majority_vote(spark, d):
     return ops.majority_vote(l, "l_partkey")
 
 
-@R.add("""WITH g AS (SELECT l_suppkey, l_partkey % 10 AS predicate, list_sort(list(DISTINCT l_shipdate::DATE::VARCHAR)) AS v FROM lineitem WHERE l_quantity > 48 GROUP BY 1, 2 HAVING count(DISTINCT l_shipdate::DATE) >= 2)
+@R.add("""WITH g AS (SELECT l_suppkey, l_partkey % 10 AS predicate, list_sort(list(DISTINCT l_shipdate::DATE::VARCHAR)) AS v FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_shipdate::DATE) >= 2)
 SELECT 'CONF-' || lpad((row_number() OVER (ORDER BY l_suppkey, predicate))::VARCHAR, 6, '0') AS conflict_id, l_suppkey, predicate, len(v)::INT AS n_values, v[1] AS first_value FROM g""")
 def conflict_sets(spark, d):
-    from pyspark.sql import Window as W
-
-    l = table(spark, d, "lineitem").filter("l_quantity > 48")
+    l = table(spark, d, "lineitem")
     g = l.groupBy("l_suppkey", (F.col("l_partkey") % 10).alias("predicate")).agg(F.sort_array(F.collect_set(F.col("l_shipdate").cast("date").cast("string"))).alias("v")).filter(F.size("v") >= 2)
-    # Numbers run over suppliers: a count per supplier, summed in order, then the place within the supplier.
-    per = g.groupBy("l_suppkey").agg(F.count("*").alias("c")).withColumn("before", F.sum("c").over(W.orderBy("l_suppkey")) - F.col("c"))
-    g = g.join(per, "l_suppkey").withColumn("n", F.col("before") + F.row_number().over(W.partitionBy("l_suppkey").orderBy("predicate")))
-    return g.select(F.concat(F.lit("CONF-"), F.lpad(F.col("n").cast("string"), 6, "0")).alias("conflict_id"), "l_suppkey", "predicate", F.size("v").alias("n_values"), F.get("v", F.lit(0)).alias("first_value"))
+    # Numbers run over all suppliers: places within blocks of suppliers, after the counts of the blocks before.
+    g = rules.numbered(g, [], F.floor(F.col("l_suppkey") / 4096), ["l_suppkey", "predicate"])
+    return g.select(F.concat(F.lit("CONF-"), F.lpad(F.col("number").cast("string"), 6, "0")).alias("conflict_id"), "l_suppkey", "predicate", F.size("v").alias("n_values"), F.get("v", F.lit(0)).alias("first_value"))
 
 
 @R.add("""SELECT c.c_nationkey, date_trunc('month', o.o_orderdate) AS month, count(DISTINCT o.o_orderkey) AS n_orders, count(*) AS n_lines, round(coalesce(sum(greatest(l.l_quantity - 5, 0)), 0), 2)::DOUBLE AS used, round(sum(l.l_quantity) / 1000, 4) AS quota
@@ -117,11 +114,11 @@ def monthly_usage(spark, d):
     return g.agg(F.count("*").alias("n_orders"), F.sum("n").alias("n_lines"), F.round(F.coalesce(F.sum("u"), F.lit(0.0)), 2).alias("used"), F.round(F.sum("q") / 1000, 4).alias("quota"))
 
 
-@R.add("""WITH m AS (SELECT unnest(generate_series(DATE '1994-01-01', DATE '1995-12-01', INTERVAL 1 MONTH))::DATE AS month), o AS (SELECT date_trunc('month', o_orderdate)::DATE AS month, count(*) AS n, max(o_totalprice) AS top FROM orders WHERE o_custkey % 50 = 1 GROUP BY 1)
+@R.add("""WITH m AS (SELECT unnest(generate_series(DATE '1994-01-01', DATE '1995-12-01', INTERVAL 1 MONTH))::DATE AS month), o AS (SELECT date_trunc('month', o_orderdate)::DATE AS month, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY 1)
 SELECT month, coalesce(n, 0) AS n, top FROM m LEFT JOIN o USING (month)""")
 def dense_monthly_history(spark, d):
     m = spark.range(1).select(F.explode(F.sequence(F.lit("1994-01-01").cast("date"), F.lit("1995-12-01").cast("date"), F.expr("interval 1 month"))).alias("month"))
-    o = table(spark, d, "orders").filter("o_custkey % 50 = 1").groupBy(F.trunc("o_orderdate", "month").alias("month")).agg(F.count("*").alias("n"), F.max("o_totalprice").alias("top"))
+    o = table(spark, d, "orders").groupBy(F.trunc("o_orderdate", "month").alias("month")).agg(F.count("*").alias("n"), F.max("o_totalprice").alias("top"))
     return m.join(o, "month", "left").select("month", F.coalesce("n", F.lit(0)).alias("n"), "top")
 
 
@@ -160,9 +157,9 @@ def findings_filter(spark, d):
     return f.orderBy(F.desc(ops.rank(F.col("severity"))), "event_id").limit(100).select("event_id", "user_id", "type", "severity")
 
 
-@R.add(f"""WITH {FINDINGS_SQL} SELECT event_id, type, CASE WHEN hard THEN NULL ELSE round(value, 4) END AS excerpt FROM findings WHERE user_id < 20""")
+@R.add(f"""WITH {FINDINGS_SQL} SELECT event_id, type, CASE WHEN hard THEN NULL ELSE round(value, 4) END AS excerpt FROM findings""")
 def sealed_masking(spark, d):
-    return findings(spark, d).filter("user_id < 20").select("event_id", "type", F.when(~F.col("hard"), F.round("value", 4)).alias("excerpt"))
+    return findings(spark, d).select("event_id", "type", F.when(~F.col("hard"), F.round("value", 4)).alias("excerpt"))
 
 
 @R.add("""SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders WHERE o_orderstatus <> 'P') WHERE rn = 1""")

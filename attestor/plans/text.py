@@ -136,10 +136,9 @@ def strip_injections(spark, d):
     return ops.strip_observed(ops.blocks(table(spark, d, "documents")), flagged).groupBy("doc_id").agg(F.count("*").alias("n_left"))
 
 
-@R.add(r"SELECT doc_id, md5(lower(trim(regexp_replace(translate(regexp_replace(text, '[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FEFF}\x{AD}]', '', 'g'), '“”‘’·', '" "'), '[ \t\n\r]+', ' ', 'g')))) AS digest FROM documents WHERE NOT regexp_matches(text, '[“”‘’·]')")
+@R.add(r"SELECT doc_id, md5(lower(trim(regexp_replace(translate(regexp_replace(text, '[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FEFF}\x{AD}]', '', 'g'), 'АВЕКМНОРСТУХаеорсух“”‘’·', 'ABEKMHOPCTYXaeopcyx""''.'), '[ \t\n\r]+', ' ', 'g')))) AS digest FROM documents")
 def match_normalisation(spark, d):
-    docs = table(spark, d, "documents").filter(~F.col("text").rlike("[“”‘’·]"))
-    return docs.select("doc_id", F.md5(T.match_form(F.col("text")).cast("binary")).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.match_form(F.col("text")).cast("binary")).alias("digest"))
 
 
 @R.add("SELECT CASE WHEN regexp_matches(text, '^[=+@-]') THEN '''' || text ELSE text END AS cell, count(*) AS n FROM (SELECT trim(unnest(string_split(text, ' '))) AS text FROM documents) WHERE text <> '' AND regexp_matches(text, '^[=+@0-9-]') GROUP BY 1")

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from attestor.functions import dates as D, text as T
-from attestor.operators import audit, evaluation, joins, rules, scoring, sinks, text as text_ops
+from attestor.operators import arithmetic, audit, evaluation, joins, retrieval, rules, scoring, sinks, text as text_ops
 
 
 def rows(df):
@@ -77,6 +77,71 @@ def test_chain_breaks_at_the_forged_row(spark):
     assert audit.verify_chain(s, "k", "n", "body").first()["first_broken"] is None
     bad = s.withColumn("link", F.when(F.col("n") == 2, "x").otherwise(F.col("link")))
     assert audit.verify_chain(bad, "k", "n", "body").first()["first_broken"] == 2
+    # A link hashes the link before it: a changed body with two new links still shows at the third.
+    import hashlib
+
+    good = {r["n"]: r["link"] for r in s.collect()}
+    link = lambda before, b: hashlib.sha256((before + b).encode()).hexdigest()
+    assert good[0] == link("", "b0") and all(good[i] == link(good[i - 1], f"b{i}") for i in range(1, 5))
+    one = link(good[0], "changed")
+    two = link(one, "b2")
+    bad = s.withColumn("body", F.when(F.col("n") == 1, "changed").otherwise(F.col("body"))).withColumn("link", F.when(F.col("n") == 1, one).when(F.col("n") == 2, two).otherwise(F.col("link")))
+    assert audit.verify_chain(bad, "k", "n", "body").first()["first_broken"] == 3
+
+
+def test_every_occurrence_of_personal_data(spark):
+    docs = spark.createDataFrame([(1, "a@b.co x a@b.co, 010-123-4567"), (2, None), (3, ""), (4, "é a@b.co"), (5, "a@b.co")], "doc_id int, text string")
+    got = sorted((r["doc_id"], r["kind"], r["start"], r["stop"]) for r in rules.pii_spans(docs).collect())
+    assert got == [(1, "email", 1, 7), (1, "email", 10, 16), (1, "phone", 18, 30), (4, "email", 3, 9), (5, "email", 1, 7)]
+
+
+def test_contained_items_of_any_length(spark):
+    items = spark.createDataFrame([(1, "a b c d e f g h"), (2, "b c d"), (3, "c"), (4, "c d"), (5, "no such words in it at all"), (6, "")], "item_id int, text string")
+    docs = spark.createDataFrame([(1, "xa b c d e f g hy"), (2, "b c dd"), (3, None), (4, "d c")], "doc_id int, text string")
+    got = sorted(rows(joins.contained(docs, items)))
+    assert got == [(1, 1), (2, 1), (2, 2), (3, 1), (3, 2), (3, 4), (4, 1), (4, 2), (6, 1), (6, 2), (6, 4)]
+
+
+def test_components_of_all_lines(spark):
+    import random
+
+    rnd = random.Random(3)
+    edges = [(2 * rnd.randrange(60), 2 * rnd.randrange(60) + 1) for _ in range(45)]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert dict(rows(joins.components(spark.createDataFrame(edges, "a long, b long")))) == root
+
+
+def test_vectors_in_blocks(spark):
+    import random
+
+    rnd = random.Random(4)
+    v = [(i, [rnd.gauss(0, 1) for _ in range(8)]) for i in range(60)] + [(60, [0.0] * 8)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<float>").repartition(3)
+    q = df.filter("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    want = None
+    for block in (1000, 4):
+        got = sorted(rows(retrieval.vector_topk(q, df, 3, block)))
+        assert want in (None, got) and len(got) == 13 * 3
+        want = got
+
+
+def test_copied_units_of_common_grams(spark):
+    """A passage with many near variants keeps all its pairs, and equal texts of several documents say so."""
+    base = "the same clause stands in each of these documents word for word with number "
+    units = [(d, 0, base + f"{d:02d}") for d in range(70)] + [(200, 0, "x" * 40), (201, 0, "x" * 40), (202, 0, "short"), (203, 0, None)]
+    got = joins.copied_units(spark.createDataFrame(units, "doc_id long, block_no int, text string")).collect()
+    pairs = {(r["a_doc"], r["b_doc"]) for r in got}
+    assert pairs == {(a, b) for b in range(70) for a in range(b)} | {(200, 200)}
+    assert next(r["a_docs"] for r in got if r["a_doc"] == 200) == 2
+
+
+def test_totals_of_tables(spark):
+    cells = [("t", 1, "a", 1.0), ("t", 2, "b", 2.0), ("t", 3, "subtotal", 3.0), ("t", 4, "c", 4.0), ("t", 5, "Total", 7.0), ("u", 1, "a", 1.0), ("u", 2, "total", 2.0), ("v", 1, "a", 5.0)]
+    got = sorted(rows(arithmetic.total_rows(spark.createDataFrame(cells, "t string, row int, label string, value double"), "t", "row", "label", "value")))
+    assert got == [("t", 3, "SUBTOTAL", 3.0, 3.0, True), ("t", 5, "TOTAL", 7.0, 7.0, True), ("u", 2, "TOTAL", 2.0, 1.0, False)]
 
 
 def test_gaps_before_the_first(spark):
@@ -111,6 +176,6 @@ def test_partition_overwrite_keeps_others(spark, tmp_path):
 
 def test_checklist_and_mask(spark):
     docs = spark.createDataFrame([(1, "mail a@b.co now"), (2, "nothing")], "doc_id int, text string")
-    items = spark.createDataFrame([("x", "mail", "never")], "item string, trigger string, mention string")
+    items = [("x", "mail", "never")]
     assert rows(rules.checklist_gaps(docs, items)) == [(1, "x")]
     assert rows(docs.select(rules.mask_pii(F.col("text"))))[0] == ("mail [email] now",)
