@@ -254,8 +254,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, lower: bool = True)
     sk = materialize(docs.mapInArrow(_first_pass(t, bands, lower), "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>"), "sketch")
 
     # Equal sets are one class with an id of its own, that of this one table; its smallest doc_id stands for it.
-    classes = sk.filter("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("sig", "bands"), "doc_id").alias("v"))
-    classes = materialize(classes.select(F.monotonically_increasing_id().alias("id"), "set_key", "doc_id", "v.*"), "classes")
+    classes = sk.filter("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("sig", "bands"), "doc_id").alias("v"), F.count("*").alias("rows"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("id"), "set_key", "doc_id", "rows", "v.*"), "classes")
     keyed = classes.select("id", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = join_hot(keyed, materialize(shared.withColumn("m", F.col("n")), "shared"), "key")
@@ -301,10 +301,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, lower: bool = True)
     roots = materialize(roots.select("component", "set_key", "doc_id"), "roots")
     least_id = roots.groupBy("component").agg(F.min("doc_id").alias("root"), F.count("*").alias("n")).filter("n > 1")
     linked = join_hot(roots.select("component", "set_key"), materialize(least_id, "least"), "component").select("set_key", "root")
-    out = sk.select("doc_id", "n_shingles", "set_key").join(linked, "set_key", "left")
+    known = classes.select("set_key", F.col("doc_id").alias("least_doc"), F.col("rows").alias("n")).join(linked, "set_key", "left")
+    known = materialize(known.select("set_key", F.coalesce("root", "least_doc").alias("component_id"), "n"), "known")
+    rows = sk.select("doc_id", "n_shingles", "set_key")
+    found = F.col("doc_id").isNotNull() & F.col("set_key").isNotNull()
+    out = join_hot(rows.filter(found), known, "set_key").select("doc_id", "n_shingles", "component_id")
+    out = out.unionByName(rows.filter(~found).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     # A doc_id that has several rows may have one without words, or one whose set another doc_id has too.
-    equal = classes.select("set_key", F.col("doc_id").alias("least_doc"))
-    out = out.join(equal, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "least_doc", "doc_id")).alias("component_id"))
     repeated = out.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("own")).filter("rows > 1 and doc_id is not null").select("doc_id", "own")
     out = out.join(repeated, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("own", "component_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

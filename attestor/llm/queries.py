@@ -9,6 +9,7 @@ from . import language_id, quality, toxicity
 from ._common import materialize
 from .chat_queries import OP3_SQL, op3_chat_formatting
 from .decontaminate import contamination
+from .dedup_sql import OP2_SQL, OP6_SQL
 from .fingerprints import fingerprints
 from .line_dedup import line_dedup
 from .minhash_dedup import near_duplicates
@@ -74,4 +75,4 @@ QUERIES = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
-ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op3_chat_formatting": OP3_SQL, "op6_minhash_near_dedup": OP6_SQL}

@@ -157,3 +157,12 @@ def test_no_python_on_the_native_paths(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
         df.agg(F.count("*")).collect()
+
+
+def test_dedup_queries_match_sql(spark):
+    from attestor.llm import queries
+    from tests import oracle
+
+    sf = "/root/testdata/sf0.001"
+    for name in ("op2_substring_dedup", "op6_minhash_near_dedup"):
+        oracle.same(queries.QUERIES[name](spark, sf), oracle.duck(sf), queries.ORACLE_SQL[name])
