@@ -128,6 +128,16 @@ def unpacked(batches, column: str = "z", limit: int = SLICE_BYTES):
             yield batch.slice(begin), texts
 
 
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task: idle workers of earlier stages stay small."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches, column: str, limit: int = SLICE_BYTES):
     """Cuts record batches into runs of rows whose texts hold about `limit` bytes (one row at least)."""
     for batch in batches:
@@ -147,6 +157,7 @@ def slices(batches, column: str, limit: int = SLICE_BYTES):
             end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + limit, side="right")) - 1)
             yield batch.slice(begin, end - begin)
             begin = end
+    give_back()
 
 
 def grouped(batches, key: str):

@@ -43,6 +43,8 @@ LEAST = (4, 8, 8, 12)
 LONG_WORD = 16
 #: Bits of 128 in which the whole SimHashes of a candidate pair differ at most; of lines under 4 * SHORT characters, which have few features.
 RADIUS, WIDE_RADIUS = 34, 46
+#: Bytes of text whose features are in memory at once (one text at least).
+SLICE = 1 << 18
 #: Edit distances of lines that differ in 64 * WIDE characters at most are taken many at a time, if there are MANY.
 WIDE, MANY = 8, 64
 #: Rows of a bucket that meet in one task; larger buckets are found in one of SAMPLE lines.
@@ -328,7 +330,7 @@ def _scan(threshold: float):
         import numpy as np
         import pyarrow as pa
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             spots, place = [], {}
             for i, text in enumerate(batch.column(2).to_pylist()):
                 for n, x in enumerate(normalised(text) if text is not None else ()):
