@@ -70,7 +70,9 @@ def statistics(buf, off):
     line_of = np.searchsorted(edges, s, side="right")
     cut = np.flatnonzero(np.diff(line_of, prepend=-1)) if len(s) else np.zeros(0, np.int64)
     distinct, top, d2, d3, again = (np.zeros(n) for _ in range(5))
-    line_hash = np.add.reduceat(tokens * np.arange(1, len(tokens) + 1, dtype=np.uint64) * 0 + tokens, cut) if len(cut) else tokens
+    # Words weigh by their place in the line, so the same words in another order are another line.
+    place = np.arange(len(tokens)) - np.repeat(cut, np.diff(np.append(cut, len(tokens))))
+    line_hash = np.add.reduceat(tokens * (2 * place + 1).astype(np.uint64), cut) if len(cut) else tokens
     line_at = np.searchsorted(cut, counts)
     for i in range(n):
         if words[i]:
