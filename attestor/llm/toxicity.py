@@ -10,6 +10,9 @@ are, become patterns with their log odds as weight. Exception phrases, a fixed l
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import math
 import unicodedata
 
 from pyspark.sql import DataFrame
@@ -20,7 +23,6 @@ from ._kernels import shingle_sets, text_bytes
 
 #: Labelled rows that the lexicon is learned from, at most.
 SAMPLE = 10_000
-TERMS = 5_000
 MIN_DOCS = 4
 MIN_ODDS = 2.5
 #: Words of text at which a hit counts half.
@@ -128,36 +130,32 @@ def _first_shingle(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([int(x[0]) >> 1 if len(x) else -1 for x in sets], pa.int64())], names=["text", "label", "least"])
 
 
-def choose(rows, clean: int, toxic: int, n_terms: int) -> dict[str, float]:
-    """Patterns and weights from (term, clean documents, toxic documents).
+def ratio_column(clean: int, toxic: int):
+    """Log-likelihood ratio of a term's share of toxic documents against the share of all; the columns are clean and toxic."""
+    share, n = toxic / (clean + toxic), F.col("clean") + F.col("toxic")
+    p = F.least(F.greatest(F.col("toxic") / n, F.lit(1e-9)), F.lit(1 - 1e-9))
+    part = lambda q: F.col("toxic") * F.log(q) + F.col("clean") * F.log(1 - q)
+    return F.when((F.col("toxic") > 0) & (F.col("toxic") / n > share), part(p) - part(F.lit(share))).otherwise(0.0)
 
-    A term stays if its log-likelihood ratio is beyond chance among n_terms. Of nested stems the longest that keeps nine
-    tenths of the toxic documents stays; a whole word stays only if no stem of it does.
-    """
-    import math
-
-    share = toxic / (clean + toxic)
-
-    def ratio(c, t):
-        def part(k, n, p):
-            return k * math.log(p) + (n - k) * math.log(1 - p)
 
-        n = c + t
-        p = min(max(t / n, 1e-9), 1 - 1e-9)
-        return part(t, n, p) - part(t, n, share)
+def choose(rows, clean: int, toxic: int) -> dict[str, float]:
+    """Patterns and weights from (term, clean documents, toxic documents), terms beyond chance.
 
-    good = {}
-    for term, c, t in rows:
-        if t and ratio(c, t) >= math.log(max(2, n_terms)) + 3 and t / (c + t) > share:
-            good[term] = (math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1)), t)
+    Of nested stems the longest that keeps nine tenths of the toxic documents stays; a whole word stays only if no stem
+    of it does.
+    """
+    good = {term: (math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1)), t) for term, c, t in rows}
     good = {t: v for t, v in good.items() if v[0] >= MIN_ODDS}
+    stems = sorted(t for t in good if not t.endswith(" "))
     out = {}
     for t, (w, n) in good.items():
         if t.endswith(" "):
             if not any(t[:k] in good and good[t[:k]][0] >= w - 1 for k in range(4, len(t))):
                 out[t] = w
             continue
-        longer = any(o.startswith(t) and len(o) > len(t) and not o.endswith(" ") and m >= 0.9 * n for o, (_, m) in good.items())
+        # Longer stems follow their prefix in order.
+        after = itertools.takewhile(lambda o: o.startswith(t), itertools.islice(stems, bisect.bisect_right(stems, t), None))
+        longer = any(good[o][1] >= 0.9 * n for o in after)
         shorter = any(t[:k] in good and n < 0.9 * good[t[:k]][1] and good[t[:k]][0] >= w - 1 for k in range(4, len(t)))
         if not longer and not shorter:
             out[t] = w
@@ -238,8 +236,10 @@ def reject(docs: DataFrame, lexicon: Lexicon, limit: float) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def learn(texts: DataFrame, terms: int = TERMS) -> Lexicon:
-    """A lexicon from texts(text, label 0/1); without both labels it is empty. The driver sees at most `terms` terms.
+def learn(texts: DataFrame) -> Lexicon:
+    """A lexicon from texts(text, label 0/1); without both labels it is empty.
+
+    The driver sees every term whose odds are beyond chance among all terms: a share of the words of the toxic rows of the sample.
 
     Of near copies in the sample one counts, so words that only copies share are not taken for insults.
     """
@@ -252,9 +252,10 @@ def learn(texts: DataFrame, terms: int = TERMS) -> Lexicon:
     if not total or not total["toxic"] or not total["clean"]:
         return Lexicon({})
     odds = F.log((F.col("toxic") + 0.5) / (total["toxic"] + 1)) - F.log((F.col("clean") + 0.5) / (total["clean"] + 1))
-    best = counts.filter((F.col("term") != "") & (F.col("toxic") >= MIN_DOCS)).withColumn("odds", odds).filter(F.col("odds") >= MIN_ODDS).orderBy(F.desc(F.col("odds") * F.col("toxic")), "term").limit(terms)
-    found = [(r["term"], r["clean"], r["toxic"]) for r in best.collect()]
-    return Lexicon(choose(found, total["clean"], total["toxic"], counts.filter("toxic > 0").count()))
+    n_terms = counts.filter("toxic > 0").count()
+    beyond = ratio_column(total["clean"], total["toxic"]) >= math.log(max(2, n_terms)) + 3
+    best = counts.filter((F.col("term") != "") & (F.col("toxic") >= MIN_DOCS)).filter((odds >= MIN_ODDS) & beyond)
+    return Lexicon(choose([(r["term"], r["clean"], r["toxic"]) for r in best.collect()], total["clean"], total["toxic"]))
 
 
 def toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
