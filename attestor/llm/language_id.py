@@ -6,8 +6,9 @@ grams and a model a bound of its own, whatever the corpus. Counts come from all
 sorted array of packed grams with a row of log-probabilities per language beside it; grams not in it back off to
 dense tables of the lower order. The language of the lowest cross-entropy per symbol wins.
 
-Rejection is calibrated from the counts: mean and deviation of a symbol's log-probability under its own language give
-the cross-entropy that a text of n symbols rarely exceeds.
+Rejection is calibrated on texts that were not counted: per language and length (powers of two) the cross-entropy that
+999 of 1,000 of them stay below, pooled with shorter texts until there are 1,000. Below that number the limit that mean
+and deviation of a symbol's log-probability give counts too, if it is the wider.
 """
 
 from __future__ import annotations
@@ -21,6 +22,11 @@ BITS = 6
 ORDER = 4
 SHARPNESS = 40.0
 REJECT_SIGMAS = 8.0
+#: One text in CALIBRATION is kept from the counts for calibration; KEEP of these are not to be rejected.
+CALIBRATION = 10
+KEEP = 0.999
+SIZES = 32
+STEP = 1 / 64
 _STATE: dict = {}
 
 
@@ -101,8 +107,13 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def for_calibration():
+    """Whether a text of docs(text) is kept for calibration; equal texts are of one kind."""
+    return F.pmod(F.xxhash64("text", F.lit(4)), F.lit(CALIBRATION)) == 0
+
+
 class LanguageModels:
-    """langs; keys: sorted packed grams; logp[key, lang]; lower[gram of 3, lang] and gamma[context of 3, lang] for the rest."""
+    """langs; keys: sorted packed grams; logp[key, lang]; lower[gram of 3, lang] and gamma[context of 3, lang] for the rest; limit[lang, size]."""
 
     def __init__(self, langs, keys, logp, lower, gamma, limit):
         self.langs, self.keys, self.logp, self.lower, self.gamma, self.limit = langs, keys, logp, lower, gamma, limit
@@ -187,8 +198,60 @@ def fit(counts: DataFrame) -> LanguageModels:
         logp[:, j] = np.log(np.maximum(g[keys >> BITS] * low[keys & ((1 << (BITS * 3)) - 1)], 1e-30))
         logp[np.searchsorted(keys, k), j] = lp
         mean = (n * -lp).sum() / n.sum()
-        limit.append((mean, np.sqrt(max(0.0, (n * lp * lp).sum() / n.sum() - mean**2))))
-    return LanguageModels(langs, keys, logp, lower, gamma, limit)
+        dev = np.sqrt(max(0.0, (n * lp * lp).sum() / n.sum() - mean**2))
+        limit.append(mean + REJECT_SIGMAS * dev / np.sqrt(2.0 ** np.arange(SIZES)) + 0.5)
+    return LanguageModels(langs, keys, logp, lower, gamma, np.array(limit).reshape(m, SIZES))
+
+
+def _size(n) -> int:
+    return min(int(n).bit_length() - 1, SIZES - 1)
+
+
+def calibrate(models: LanguageModels, docs: DataFrame) -> LanguageModels:
+    """The models with limits of rejection from docs(lang, text), texts that were not counted; unknown languages and empty texts add nothing.
+
+    The driver sees one row per language, length and step of cross-entropy.
+    """
+    import numpy as np
+
+    tune(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((models.langs, models.keys, models.logp, models.lower, models.gamma, models.limit))
+
+    def run(batches):
+        import pyarrow as pa
+
+        m = LanguageModels(*shared.value)
+        place = {lang: j for j, lang in enumerate(m.langs)}
+        found: dict = {}
+        for batch in slices(batches, "text"):
+            code, starts = grams(batch.column(1).to_pylist())
+            h, n = m.entropies(code, starts)
+            for i, lang in enumerate(batch.column(0).to_pylist()):
+                if lang in place and n[i]:
+                    key = (place[lang], _size(n[i]), int(h[i, place[lang]] / STEP))
+                    found[key] = found.get(key, 0) + 1
+        if found:
+            j, size, step = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(j, pa.int32()), pa.array(size, pa.int32()), pa.array(step, pa.int32()), pa.array(list(found.values()), pa.int64())], names=["j", "size", "step", "n"])
+
+    rows = docs.select("lang", "text").mapInArrow(run, "j int, size int, step int, n long").groupBy("j", "size", "step").agg(F.sum("n").alias("n")).collect()
+    limit = models.limit.copy()
+    for j in range(len(models.langs)):
+        for size in range(SIZES):
+            # Texts of this length, then ever shorter ones, which vary more, until there are enough.
+            pool: dict = {}
+            for near in range(size, -1, -1):
+                for r in rows:
+                    if r["j"] == j and r["size"] == near:
+                        pool[r["step"]] = pool.get(r["step"], 0) + r["n"]
+                if sum(pool.values()) * (1 - KEEP) >= 1:
+                    break
+            steps = np.array(sorted(pool))
+            if len(steps):
+                share = np.cumsum([pool[k] for k in steps.tolist()]) / sum(pool.values())
+                found = float(steps[np.searchsorted(share, KEEP)] + 1) * STEP
+                limit[j, size] = found if sum(pool.values()) * (1 - KEEP) >= 1 else max(found, limit[j, size])
+    return LanguageModels(models.langs, models.keys, models.logp, models.lower, models.gamma, limit)
 
 
 def identify(docs: DataFrame, models: LanguageModels) -> DataFrame:
@@ -196,7 +259,7 @@ def identify(docs: DataFrame, models: LanguageModels) -> DataFrame:
 
     lang_pred: the language of the lowest cross-entropy per symbol, ties to the first in order; `und` with score 0 if
     the text is null, has no letter, or nothing was learned. score: its share after exponentiating the differences.
-    rejected: the text fits even that language worse than nearly all text of it (a mark only; the prediction stays).
+    rejected: the text fits even that language worse than nearly all text of it, by calibrate() (a mark only; the prediction stays).
     Texts are read whole; other columns are ignored; repeated rows give a row each.
     """
     spark = docs.sparkSession
@@ -226,11 +289,10 @@ def identify(docs: DataFrame, models: LanguageModels) -> DataFrame:
                 j = int(h[i].argmin())
                 # A language's symbols weigh alike up to SHARPNESS of them; more text adds no more certainty than that.
                 x = np.exp(-(h[i] - h[i][j]) * min(float(n[i]), SHARPNESS))
-                mean, dev = m.limit[j]
                 pred.append(m.langs[j])
                 score.append(float(x[j] / x.sum()))
                 ent.append(float(h[i][j]))
-                odd.append(bool(h[i][j] > mean + REJECT_SIGMAS * dev / np.sqrt(n[i]) + 0.5))
+                odd.append(bool(h[i][j] > m.limit[j][_size(n[i])]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(ent, pa.float64()), pa.array(odd, pa.bool_())], names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")

@@ -31,7 +31,9 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", toxicity.held_out(5, 0))
-    models = language_id.fit(materialize(language_id.gram_counts(docs.filter("not held_out")), "grams"))
+    train, kept = docs.filter("not held_out"), language_id.for_calibration()
+    models = language_id.fit(materialize(language_id.gram_counts(train.filter(~F.coalesce(kept, F.lit(False)))), "grams"))
+    models = language_id.calibrate(models, train.filter(kept))
     return language_id.identify(docs, models).select("doc_id", toxicity.held_out(5, 0).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 

@@ -31,6 +31,42 @@ def test_language_id(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values()) and got[None]["lang_pred"] == "en"
 
 
+def test_language_rejection_is_calibrated(spark):
+    docs = corpus(spark, 600).filter("doc_id < 600")
+    m = li.fit(li.gram_counts(docs.filter("doc_id % 3 = 0")))
+    m = li.calibrate(m, docs.filter("doc_id % 3 = 1"))
+    got = li.identify(docs.filter("doc_id % 3 = 2"), m)
+    assert got.filter("rejected").count() <= 0.04 * got.count()
+    odd = spark.createDataFrame([(1, "жщюэ цчъыь " * 20), (2, "qzxj vkqz wxzq " * 20)], "doc_id long, text string")
+    assert all(r["rejected"] for r in li.identify(odd, m).collect())
+    none = li.calibrate(li.fit(li.gram_counts(docs.filter("false"))), docs)
+    assert none.langs == [] and li.calibrate(m, docs.filter("false")).limit.tolist() == m.limit.tolist()
+
+
+def test_language_id_odd_tables(spark, docs, empty):
+    """Repeated rows, long texts, clashing columns and empty tables: a row each, the same answer for the same text."""
+    m = li.fit(li.gram_counts(docs))
+    got = li.identify(docs, m)
+    assert got.count() == docs.count() and got.columns == ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"]
+    assert {r["lang_pred"] for r in got.filter("score > 0").collect()} == {"en"}
+    assert li.identify(empty, m).count() == 0 and li.gram_counts(empty).count() == 0
+    long = spark.createDataFrame([(1, "the " * 300000), (1, "the " * 300000)], "doc_id long, text string")
+    assert len({tuple(r) for r in li.identify(long, m).collect()}) == 1
+
+
+def test_lines_of_the_same_words_in_another_order_differ(spark):
+    s = spark.createDataFrame([(1, "a bb ccc\nccc bb a"), (2, "a bb ccc\na bb ccc")], "doc_id long, text string")
+    a, b = (dict(zip(q.STATS, r["stats"])) for r in q.document_statistics(s).orderBy("doc_id").collect())
+    assert [k for k in q.STATS if a[k] != b[k]]
+    assert sum(abs(a[k] - b[k]) for k in q.STATS) >= 0.5
+
+
+def test_choose_nested_stems():
+    rows = [("idio", 0, 40), ("idiot", 0, 40), ("idiots ", 0, 20), ("free ", 30, 30), ("moro", 0, 40), ("moron ", 0, 38)]
+    got = tx.choose(rows, 1000, 100)
+    assert set(got) == {"idiot", "moro"}
+
+
 def test_language_models_sum_to_one(spark):
     m = li.fit(li.gram_counts(corpus(spark)))
     for context in (int(m.keys[0]) >> li.BITS, 12345):
