@@ -30,8 +30,8 @@ def weekday_matches(day: Column, stated: Column) -> Column:
 
 
 def parse_date(text: Column) -> Column:
-    """A date from YYYY-MM-DD, YYYY.MM.DD or YYYY/MM/DD inside text; null if it is no date of the calendar."""
-    p = r"([0-9]{4})[-./]([0-9]{1,2})[-./]([0-9]{1,2})"
+    """A date from YYYY-MM-DD, YYYY. MM. DD., YYYY/MM/DD or YYYY년 MM월 DD일 inside text; null if it is no date of the calendar."""
+    p = r"([0-9]{4})\s*[-./년]\s*([0-9]{1,2})\s*[-./월]\s*([0-9]{1,2})"
     y, m, d = (F.regexp_extract(text, p, i) for i in (1, 2, 3))
     return F.when(text.rlike(p), F.try_to_timestamp(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), F.lit("yyyy-MM-dd")).cast("date"))
 

@@ -26,8 +26,12 @@ def match_form(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Words of [a-z0-9] with two characters or more, cut at 80; an accented letter ends a word."""
-    return F.transform(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), F.lit(0)), lambda w: F.substring(w, 1, 80))
+    """Words of [a-z0-9] with two characters or more, cut at 80, and the pairs of syllables of Hangul words; an accented letter ends a word."""
+    low = F.lower(text)
+    latin = F.transform(F.regexp_extract_all(low, F.lit("[a-z0-9]{2,}"), F.lit(0)), lambda w: F.substring(w, 1, 80))
+    words = F.regexp_extract_all(low, F.lit("[a-z0-9]{2,}|[가-힣]{2,}"), F.lit(0))
+    mixed = F.flatten(F.transform(words, lambda w: F.when(w.rlike("^[가-힣]"), bigrams(w)).otherwise(F.array(F.substring(w, 1, 80)))))
+    return F.when(text.rlike("[가-힣]"), mixed).otherwise(latin)
 
 
 def bigrams(word: Column) -> Column:
@@ -42,6 +46,30 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: F.trim(F.replace(s, F.lit("\n"), F.lit(" ")))), lambda s: s != "")
 
 
+def legal_sentences(text: Column) -> Column:
+    """Pieces that end in . ! or ? after anything but a digit, or in a line break: a date such as 2021. 3. 25. stays whole."""
+    parts = F.split(F.regexp_replace(text, r"([^\s0-9][.!?])\s+|\n+", "$1\u0001"), "\u0001")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
+
+
+def remove_observed(text: Column, observed: list[str]) -> Column:
+    """Text without the observed strings, the longest first."""
+    for o in sorted(set(observed), key=lambda o: (-len(o), o)):
+        text = F.replace(text, F.lit(o), F.lit(""))
+    return text
+
+
+def decoded(token: Column, kind: str) -> Column:
+    """Readable text that a hexadecimal or base64 token holds: valid UTF-8, eight characters, few control characters; else null."""
+    if kind == "hex":
+        raw = F.unhex(F.substring(token, F.lit(1), (F.length(token) - F.length(token) % 2).cast("int")))
+    else:
+        raw = F.try_to_binary(F.rpad(F.rtrim(token, F.lit("=")), (F.ceil(F.length(F.rtrim(token, F.lit("="))) / 4) * 4).cast("int"), "="), F.lit("base64"))
+    t = F.try_validate_utf8(raw.cast("string"))
+    shown = F.length(F.regexp_replace(t, r"[\p{Cntrl}]", ""))
+    return F.when((F.length(F.trim(t)) >= 8) & (shown > 0.85 * F.length(t)), t)
+
+
 def digits_only(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
