@@ -51,7 +51,7 @@ def resource_percentiles(spark, d):
 
 
 @R.add("""WITH c AS (SELECT event_id, event_type, value AS c FROM events WHERE event_id % 3 <> 0), b AS (SELECT event_id, value * 0.9::DOUBLE AS b FROM events WHERE event_id % 2 = 0)
-SELECT event_type, count(*) AS n, round(avg(c - b), 4) AS mean_delta, round(quantile_cont(c - b, 0.5), 4) AS median_delta FROM c JOIN b USING (event_id) GROUP BY 1""")
+SELECT event_type, count(b) AS n, round(avg(c - b), 4) AS mean_delta, round(quantile_cont(c - b, 0.5), 4) AS median_delta, round(avg(c - b) / avg(b), 4) AS relative_delta, count(*) - count(b) AS missing FROM c LEFT JOIN b USING (event_id) GROUP BY 1""")
 def paired_deltas(spark, d):
     e = table(spark, d, "events").select("event_id", "event_type", "value")
     return ops.paired_deltas(e.filter("event_id % 3 <> 0"), e.filter("event_id % 2 = 0").withColumn("value", F.col("value") * 0.9), "event_id", "event_type", "value")
@@ -63,12 +63,37 @@ def split_leak_guard(spark, d):
     return scoring.split_leaks(table(spark, d, "documents").select(F.md5(F.col("text").cast("binary")).alias("key"), split.alias("split")), "key", "split")
 
 
-@R.add(None)
-def bootstrap_hash(spark, d):
+DRAWS = """f AS (SELECT source AS family, count(*) AS n, sum(quality) AS hits FROM documents JOIN labels USING (doc_id) GROUP BY 1), r AS (SELECT unnest(range(200)) AS draw),
+u AS (SELECT draw, n, hits, ('0x' || substr(md5('1|' || draw || CASE WHEN family IS NULL THEN '' ELSE '|' || family END), 1, 7))::BIGINT % 10000 / 10000.0::DOUBLE AS u FROM f, r),
+w AS (SELECT *, CASE WHEN u < 0.3679 THEN 0 WHEN u < 0.7358 THEN 1 WHEN u < 0.9197 THEN 2 ELSE 3 END AS w FROM u), s AS (SELECT draw::INT AS draw, round(sum(w * hits) / nullif(sum(w * n), 0)::DOUBLE, 6) AS share FROM w GROUP BY 1)"""
+
+
+def draws(spark, d):
     f = table(spark, d, "documents").select("doc_id", F.col("source").alias("family")).join(table(spark, d, "labels"), "doc_id").groupBy("family").agg(F.count("*").alias("n"), F.sum("quality").alias("hits"))
     return ops.bootstrap(f, 200, "hits", "n")
 
 
+@R.add(f"WITH {DRAWS} SELECT draw, share FROM s")
+def bootstrap_hash(spark, d):
+    return draws(spark, d)
+
+
+@R.add(f"WITH {DRAWS} SELECT round(quantile_cont(share, 0.025), 6) AS lower, round(quantile_cont(share, 0.975), 6) AS upper, count(share) AS valid FROM s")
+def bootstrap_interval(spark, d):
+    return ops.bootstrap_interval(draws(spark, d))
+
+
+@R.add("""WITH g AS (SELECT doc_id, lang, CASE WHEN quality = 1 THEN 'VERIFIED' ELSE 'CONTRADICTED' END AS g FROM documents JOIN labels USING (doc_id)),
+f AS (SELECT doc_id, CASE WHEN contains(text, '%%%') THEN 'CONTRADICTED' WHEN contains(text, ' | ') THEN 'ABSTAIN' ELSE 'VERIFIED' END AS f FROM documents WHERE doc_id % 10 <> 3),
+c AS (SELECT lang, count(*) AS items, count(*) FILTER (WHERE f = 'VERIFIED') AS verified, count(*) FILTER (WHERE f = 'VERIFIED' AND g <> 'VERIFIED') AS false_verified, count(*) FILTER (WHERE f IN ('VERIFIED', 'CONTRADICTED')) AS decided, count(*) FILTER (WHERE f IS NULL) AS missing FROM g LEFT JOIN f USING (doc_id) GROUP BY 1)
+SELECT lang, items, verified, false_verified, round(false_verified / nullif(verified, 0), 4) AS false_verified_rate, round(decided / items, 4) AS coverage, missing FROM c""")
+def status_rates(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    gold = docs.select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id").select("doc_id", "lang", F.when(F.col("quality") == 1, "VERIFIED").otherwise("CONTRADICTED").alias("status"))
+    said = F.when(F.col("text").contains("%%%"), "CONTRADICTED").when(F.col("text").contains(" | "), "ABSTAIN").otherwise("VERIFIED")
+    return ops.status_rates(gold, docs.filter("doc_id % 10 <> 3").select("doc_id", said.alias("status")), "doc_id", "lang")
+
+
 @R.add("""WITH l AS (SELECT doc_id, quality FROM labels), d AS (SELECT doc_id FROM documents) SELECT count(*) AS n, count(quality) AS assessed, count(*) - count(quality) AS abstained, round(count(quality) / count(*), 4) AS coverage FROM d LEFT JOIN l USING (doc_id)""")
 def coverage_abstention(spark, d):
     j = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
