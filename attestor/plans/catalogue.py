@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from attestor.operators import rules, scoring, text
 
-MODULES = ("text", "rules", "joins", "scoring", "arithmetic", "evaluation", "retrieval", "extraction", "legal", "review")
+MODULES = ("text", "rules", "joins", "scoring", "arithmetic", "evaluation", "retrieval", "extraction", "legal", "review", "formats")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}

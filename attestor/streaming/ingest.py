@@ -12,23 +12,28 @@ def file_stream(spark: SparkSession, path: str, schema: StructType | str, fmt: s
     return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files).load(path)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one of spark.checkpoint.dir, which all machines share."""
+    import uuid
+
+    from attestor.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def ingest(stream: DataFrame, target: str, checkpoint: str, *keys: str):
-    """Appends each new key once: rows whose key the target holds are skipped, so a replayed batch changes nothing.
+    """Appends each new key once (null is a key too); the target gains a partition `batch` and is never read.
 
-    The checkpoint is the cursor; `availableNow` ends after what is there.
+    The keys seen are state of the stream, beside the cursor in the checkpoint; a batch that is run again replaces its own
+    partition. `availableNow` ends after what is there.
     """
 
-    def upsert(batch: DataFrame, _: int) -> None:
-        spark, new = batch.sparkSession, batch.dropDuplicates(list(keys))
-        try:
-            old = spark.read.parquet(target).select(*keys)
-            new = new.join(old, list(keys), "left_anti")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        new.write.mode("append").parquet(target)
-
-    return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return stream.dropDuplicates(list(keys)).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed(events: DataFrame, at: str, key: str, late: str = "1 hour", size: str = "1 day", slide: str | None = None) -> DataFrame:
