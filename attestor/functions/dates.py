@@ -57,3 +57,14 @@ def round_mode(value: Column, mode: str, places: int = 0) -> Column:
 def vested(total: Column, months: Column, cliff: int, period: int) -> Column:
     """Linear vesting by whole months with a cliff; all of it after the period."""
     return F.when(months < cliff, 0).when(months >= period, total).otherwise(F.floor(total * months / period))
+
+
+def delay_penalty(amount: Column, rate: Column, days: Column, cap: float) -> Column:
+    """Penalty per day of delay, at most `cap` of the amount; none for no delay."""
+    return F.least(amount * rate * F.greatest(days, F.lit(0)), amount * cap)
+
+
+def passes(votes: Column, of: Column, share: tuple[int, int], strict: bool) -> Column:
+    """Whether votes are more than (strict) or at least a share of those entitled, in whole numbers; null if nobody is."""
+    a, b = votes * share[1], of * share[0]
+    return F.when(of > 0, (a > b) if strict else (a >= b))

@@ -177,3 +177,57 @@ def words_against_digits(rows: DataFrame, key: str, text: str) -> DataFrame:
     pair = rows.filter(F.col(text).rlike(p)).select(key, F.explode(F.regexp_extract_all(text, F.lit(p), F.lit(0))).alias("x"))
     v = pair.select(key, L.amount_words(F.regexp_extract("x", p, 1)).alias("words_value"), F.replace(F.regexp_extract("x", p, 2), F.lit(","), F.lit("")).try_cast("long").alias("digits_value"))
     return v.filter("words_value <> digits_value").withColumn("difference", F.col("digits_value") - F.col("words_value"))
+
+
+# Words whose change alters what a quotation says, by class.
+CHANGES = {
+    "DEGREE": "현저|상당|명백|중대|매우|극히|다소|약간|전혀|반드시|항상|언제나|오로지|오직|특히", "NEGATION": "아니|않|못|없|불가|금지", "MODALITY": "수있|하여야|해야|하도록|하여서는|할것|하지아니할",
+    "PROVISION_QUALIFIER": "단서|본문|전단|후단|제[0-9]+항|제[0-9]+호|각호", "QUANTITY": "[0-9]+",
+}
+EXHIBIT = r"(갑|을)\s?제\s?([0-9]{1,3})\s?호증"
+PLACEHOLDERS = {"BRACKET": r"\[(당사자명|성명|주소|날짜|금액|회사명)\]", "CIRCLES": "[○◯]{2,}", "LATIN": r"\b[xX]{3,}\b", "BLANK": "_{4,}"}
+
+
+def quote_changes(pairs: DataFrame, key: str, original: str, quoted: str) -> DataFrame:
+    """(key, op, before, after, kinds): changed runs of words between an original and its quotation, with the classes of words that only one side has.
+
+    Differences of blanks and marks alone are none; kinds is empty where the meaning stays.
+    """
+    from .similarity import word_diff
+
+    bare = lambda c: F.regexp_replace(c, r"[\s\"'“”‘’.,·「」『』()\[\]<>《》]", "")
+    c = pairs.select(key, F.explode(word_diff(original, quoted)).alias("c")).select(key, "c.op", F.col("c.a").alias("before"), F.col("c.b").alias("after"))
+    c = c.filter(bare(F.col("before")) != bare(F.col("after")))
+    words = lambda side, p: F.array_sort(F.array_distinct(F.regexp_extract_all(bare(F.col(side)), F.lit(p), F.lit(0))))
+    kinds = F.filter(F.array(*(F.when(words("before", p) != words("after", p), F.lit(k)) for k, p in CHANGES.items())), lambda k: k.isNotNull())
+    return c.select(key, "op", "before", "after", F.array_join(kinds, ",").alias("kinds"))
+
+
+def labelled_facts(docs: DataFrame, labels: list[str], *keys: str) -> DataFrame:
+    """(keys, label, raw, amount, day): lines `label: value`, with the won or the day that the value tells."""
+    from attestor.functions.parse import korean_amount
+
+    p = rf"^\s*({'|'.join(labels)})\s*[:：]\s*(.+)$"
+    line = docs.select(*keys, F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line").rlike(p))
+    f = line.select(*keys, F.regexp_extract("line", p, 1).alias("label"), F.trim(F.regexp_extract("line", p, 2)).alias("raw"))
+    return f.withColumn("amount", korean_amount(F.col("raw"))).withColumn("day", D.parse_date(F.col("raw")))
+
+
+def linked_observations(facts: DataFrame, scope: str) -> DataFrame:
+    """(scope, label, n_docs, n_values, agree): the facts of one label in a project; several values contradict each other."""
+    value = F.coalesce(F.col("amount").cast("string"), F.col("day").cast("string"), F.col("raw"))
+    g = facts.groupBy(scope, "label").agg(F.countDistinct("doc_id").alias("n_docs"), F.countDistinct(value).alias("n_values"))
+    return g.filter("n_docs > 1").withColumn("agree", F.col("n_values") == 1)
+
+
+def evidence_statements(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, side, number): each exhibit that a sentence rests on, once a sentence."""
+    s = docs.select("doc_id", F.posexplode(T.legal_sentences(F.col("text"))).alias("pos", "s")).filter(F.col("s").rlike(EXHIBIT))
+    e = s.select("doc_id", "pos", F.explode(F.array_distinct(F.regexp_extract_all("s", F.lit(EXHIBIT), F.lit(0)))).alias("e"))
+    return e.select("doc_id", "pos", F.regexp_extract("e", EXHIBIT, 1).alias("side"), F.regexp_extract("e", EXHIBIT, 2).cast("int").alias("number")).distinct()
+
+
+def placeholders(docs: DataFrame) -> DataFrame:
+    """(doc_id, kind, n): places of a template that nobody filled in."""
+    n = F.array(*(F.struct(F.lit(k).alias("kind"), F.regexp_count("text", F.lit(p)).alias("n")) for k, p in PLACEHOLDERS.items()))
+    return docs.filter("text is not null").select("doc_id", F.inline(n)).filter("n > 0")

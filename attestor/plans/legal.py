@@ -212,3 +212,56 @@ def hangul_tokens(spark, d):
 @R.add("SELECT doc_id, md5(replace(replace(replace(text, ' the ', ''), '***', ''), '!!', '')) AS digest FROM documents")
 def strip_observed_spans(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.remove_observed(F.col("text"), ["!!", " the ", "***", "!!"]).cast("binary")).alias("digest"))
+
+
+QUOTES = {
+    "사회통념상 타당성을 잃은 경우 3 항은 무효이다": "delete|현저하게||DEGREE", "사회통념상 현저하게 타당성을 잃은 경우 3 항은 무효가 아니다": "replace|무효이다|무효가 아니다|NEGATION", "사회통념상 현저하게 타당성을 잃은 경우 5 항은 무효이다": "replace|3|5|QUANTITY",
+    "사회통념상 현저하게 정당성을 잃은 경우 3 항은 무효이다": "replace|타당성을|정당성을|", "사회통념상 현저하게 타당성을 잃은 경우, 3 항은 무효이다": None,
+}
+
+
+@R.add(f"""WITH v AS (SELECT p_partkey, ({_list(v or '' for v in QUOTES.values())})[p_partkey % {len(QUOTES)} + 1] AS v FROM part) SELECT p_partkey, string_split(v, '|')[1] AS op, string_split(v, '|')[2] AS before, string_split(v, '|')[3] AS after, string_split(v, '|')[4] AS kinds FROM v WHERE v <> ''""")
+def quote_changes(spark, d):
+    quoted = F.element_at(F.array(*(F.lit(q) for q in QUOTES)), (F.col("p_partkey") % len(QUOTES) + 1).cast("int"))
+    return ops.quote_changes(table(spark, d, "part").select("p_partkey", F.lit("사회통념상 현저하게 타당성을 잃은 경우 3 항은 무효이다").alias("a"), quoted.alias("b")), "p_partkey", "a", "b")
+
+
+# Every project of ten documents agrees on its sum unless its number is divisible by 3; only even documents name the day.
+FACTS = "concat(coalesce(text, ''), chr(10), '계약금액: ', 1 + doc_id // 10 + CASE WHEN (doc_id // 10) % 3 = 0 AND doc_id % 10 = 4 THEN 1 ELSE 0 END, '억 5,000만원', chr(10), CASE WHEN doc_id % 2 = 0 THEN '납기 : 2020. 3. 1.' ELSE '납기 미정' END)"
+
+
+@R.add("""SELECT doc_id // 10 AS project, '계약금액' AS label, count(*) AS n_docs, CASE WHEN (doc_id // 10) % 3 = 0 AND bool_or(doc_id % 10 = 4) THEN 2 ELSE 1 END::BIGINT AS n_values, NOT ((doc_id // 10) % 3 = 0 AND bool_or(doc_id % 10 = 4)) AS agree FROM documents GROUP BY doc_id // 10 HAVING count(*) > 1
+UNION ALL SELECT doc_id // 10, '납기', count(*), 1, TRUE FROM documents WHERE doc_id % 2 = 0 GROUP BY 1 HAVING count(*) > 1""")
+def linked_observations(spark, d):
+    text = FACTS.replace("doc_id // 10", "floor(doc_id / 10)")
+    docs = table(spark, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 10).alias("project"), F.expr(text).alias("text"))
+    return ops.linked_observations(ops.labelled_facts(docs, ["계약금액", "납기"], "doc_id", "project"), "project")
+
+
+EXHIBITED = "concat('갑 제', doc_id % 50 + 1, '호증과 을제2호증에 의하면 사실이다. 갑 제', doc_id % 50 + 1, '호증, 갑제', doc_id % 50 + 1, ' 호증은 같다. [당사자명]은 ○○○와 ', CASE WHEN doc_id % 2 = 0 THEN '____에 산다.' ELSE 'xxx 이다.' END)"
+
+
+@R.add("""SELECT doc_id, 0 AS pos, '갑' AS side, (doc_id % 50 + 1)::INT AS number FROM documents UNION ALL SELECT doc_id, 0, '을', 2 FROM documents UNION ALL SELECT doc_id, 1, '갑', (doc_id % 50 + 1)::INT FROM documents""")
+def evidence_statements(spark, d):
+    return ops.evidence_statements(table(spark, d, "documents").select("doc_id", F.expr(EXHIBITED).alias("text")))
+
+
+@R.add("""SELECT doc_id, unnest(['BRACKET', 'CIRCLES', CASE WHEN doc_id % 2 = 0 THEN 'BLANK' ELSE 'LATIN' END]) AS kind, 1 AS n FROM documents""")
+def template_residue(spark, d):
+    return ops.placeholders(table(spark, d, "documents").select("doc_id", F.expr(EXHIBITED).alias("text")))
+
+
+@R.add(f"""WITH {PAIRS} SELECT o_orderkey, round(least(money::DOUBLE * 0.001 * greatest(0, (b - a) - 60), money::DOUBLE * 0.3), 6) AS penalty, round(money::DOUBLE / sum(money) OVER (PARTITION BY year(a), month(a))::DOUBLE, 8) AS share FROM p""")
+def penalty_and_share(spark, d):
+    m, p = F.col("money").cast("double"), pairs(spark, d).withColumn("month", F.trunc("a", "month"))
+    # Sums first: a month's rows need not meet in one task.
+    total = p.groupBy("month").agg(F.sum("money").cast("double").alias("total"))
+    share = m / F.col("total")
+    return p.join(total, "month").select("o_orderkey", F.round(D.delay_penalty(m, F.lit(0.001), F.datediff("b", "a") - 60, 0.3), 6).alias("penalty"), F.round(share, 8).alias("share"))
+
+
+@R.add("""WITH v AS (SELECT l_suppkey, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'A') AS yes FROM lineitem GROUP BY 1) SELECT l_suppkey, n, yes, yes * 2 > n AS majority, yes * 2 >= n AS half, yes * 3 >= n * 2 AS two_thirds, yes * 4 > n AS strict_quarter FROM v""")
+def vote_rules(spark, d):
+    v = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "A").alias("yes"))
+    rule = lambda share, strict: D.passes(F.col("yes"), F.col("n"), share, strict)
+    return v.select("l_suppkey", "n", "yes", rule((1, 2), True).alias("majority"), rule((1, 2), False).alias("half"), rule((2, 3), False).alias("two_thirds"), rule((1, 4), True).alias("strict_quarter"))
