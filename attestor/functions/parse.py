@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from attestor.functions.text import whole
+
 # Units of Korean amounts, largest first.
 UNITS = (("조", 10**12), ("억", 10**8), ("천만", 10**7), ("백만", 10**6), ("만", 10**4), ("천", 10**3))
 MULTIPLIERS = {"k": 10**3, "m": 10**6, "b": 10**9}
@@ -62,5 +64,7 @@ def contrast(r1, g1, b1, r2, g2, b2) -> Column:
 
 def polarity(text: Column) -> Column:
     """ASSERTED, NEGATED, REPORTED or HYPOTHETICAL, by the first rule that matches."""
-    t = F.lower(text)
-    return F.when(t.rlike(r"\b(if|would|might|may)\b"), "HYPOTHETICAL").when(t.rlike(r"\b(said|claims|alleged|according to)\b"), "REPORTED").when(t.rlike(r"\b(not|no|never|none)\b"), "NEGATED").otherwise("ASSERTED")
+    # The dotted capital I becomes one letter, as in SQL, not a letter and a mark.
+    t = F.lower(F.translate(text, "\u0130", "i"))
+    rules = (("if|would|might|may", "HYPOTHETICAL"), ("said|claims|alleged|according to", "REPORTED"), ("not|no|never|none", "NEGATED"))
+    return F.coalesce(*(F.when(t.rlike(whole(p)), name) for p, name in rules), F.lit("ASSERTED"))

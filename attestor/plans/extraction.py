@@ -18,7 +18,7 @@ WHEN regexp_matches(lower(sentence), '\\b(not|no|never|none)\\b') THEN 'NEGATED'
 def claim_extraction(spark, d):
     from attestor.functions import text as T
 
-    s = table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s")).filter(F.col("s").rlike(r"([0-9]|\bwas\b|\bare\b)"))
+    s = table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s")).filter(F.col("s").rlike("[0-9]|" + T.whole("was|are")))
     return s.select("doc_id", "pos", P.polarity(F.col("s")).alias("polarity"), F.col("s").rlike("[0-9]").alias("has_number"))
 
 

@@ -2,11 +2,14 @@
 
 import datetime as dt
 
+import duckdb
 from pyspark.sql import functions as F
 
 from attestor.functions import dates as D, text as T
 from attestor.operators import arithmetic, audit, evaluation, joins, retrieval, rules, scoring, sinks, text as text_ops
 
+from . import oracle
+
 
 def rows(df):
     return [tuple(r) for r in df.collect()]
@@ -179,3 +182,14 @@ def test_checklist_and_mask(spark):
     items = [("x", "mail", "never")]
     assert rows(rules.checklist_gaps(docs, items)) == [(1, "x")]
     assert rows(docs.select(rules.mask_pii(F.col("text"))))[0] == ("mail [email] now",)
+
+
+def test_claims_as_sql_on_odd_letters_and_spaces(spark, tmp_path):
+    from attestor.plans import extraction
+
+    texts = ["Ends. 　. It wasé 5.", "the éwasé.", "x1 İf so.", "1 énoté.", "is 3 not́.", " A was. ", "2 Was مif.", None, ""]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    oracle.same(extraction.claim_extraction(spark, str(tmp_path)), duck, extraction.R.sql["claim_extraction"])
