@@ -193,3 +193,14 @@ def test_claims_as_sql_on_odd_letters_and_spaces(spark, tmp_path):
     duck = duckdb.connect()
     duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
     oracle.same(extraction.claim_extraction(spark, str(tmp_path)), duck, extraction.R.sql["claim_extraction"])
+
+
+def test_spaced_letters_as_sql_beside_other_letters(spark, tmp_path):
+    from attestor.plans import text
+
+    texts = ["a b c dé", "éa b c d e", "a b c d́", "a b c d_", "я a b c d я", "a b c d eя f g h i", "a " * 100_000, None, ""]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    oracle.same(text.unicode_scan(spark, str(tmp_path)), duck, text.R.sql["unicode_scan"])
