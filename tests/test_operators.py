@@ -204,3 +204,28 @@ def test_spaced_letters_as_sql_beside_other_letters(spark, tmp_path):
     duck = duckdb.connect()
     duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
     oracle.same(text.unicode_scan(spark, str(tmp_path)), duck, text.R.sql["unicode_scan"])
+
+
+def test_copies_write_no_grams(spark, monkeypatch):
+    """Every pair of random texts with nine tenths of the smaller set in common, in chunks of any size, without a row per gram."""
+    import random
+
+    from attestor.operators import copies
+
+    monkeypatch.setattr(copies, "CHUNK", 4_000)
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abcdé中 ") for _ in range(rnd.randint(30, 90))) for _ in range(60)]
+    for t in texts[:40]:
+        i = rnd.randrange(len(t))
+        texts += [t[:i] + "XY" + t[i + 1 :], t[i:] + t[:i], t + rnd.choice(texts[:60]), t[: max(30, len(t) - 7)]]
+    texts = sorted(set(texts))
+    cut = lambda t, n: {t[i : i + n] for i in range(len(t) - n + 1)}
+    want = set()
+    for y in range(len(texts)):
+        for x in range(y):
+            a, b = cut(texts[x], 5), cut(texts[y], 5)
+            if len(a & b) >= 0.9 * min(len(a), len(b)) and len(cut(texts[x], 8) & cut(texts[y], 8)) >= 3:
+                want.add((x, y))
+    df = joins.copied_units(spark.createDataFrame([(d, 0, t) for d, t in enumerate(texts)], "doc_id long, block_no int, text string"))
+    assert {(r["a_doc"], r["b_doc"]) for r in df.collect()} == want and len(want) > 100
+    assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
