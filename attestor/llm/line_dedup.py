@@ -17,7 +17,8 @@ whose whole SimHash, 128 bits of all features, differs in RADIUS bits at most.
 Each line first meets its nearest candidate in each bucket; the links found are merged to groups. Then every pair of
 candidates that still lies in different groups is compared, where they meet; only links leave a task. Buckets over BLOCK
 rows (seen in a sample of the lines) are dealt to parts; in the second step the rows of their largest group are dealt and
-all others are sent to each part, so every pair meets, and no bucket is squared.
+all others are sent to each part, so every pair meets, and no bucket is squared. In the first step rows move packed, in
+runs by part of the cells: nearly all keys have one line only, and one by one these rows cost more than their comparison.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import broadcast_if_small, discard, join_hot, materialize, maybe_in, release, slices, tune
+from ._common import discard, give_back, grouped, hold, join_hot, materialize, maybe_in, release, slices, tune
 from ._kernels import U, mix, span_hashes, word_spans
 from .components import connected_components
 
@@ -45,13 +46,21 @@ LONG_WORD = 16
 RADIUS, WIDE_RADIUS = 34, 46
 #: Bytes of text whose features are in memory at once (one text at least).
 SLICE = 1 << 18
-#: Edit distances of lines that differ in 64 * WIDE characters at most are taken many at a time, if there are MANY.
-WIDE, MANY = 8, 64
+#: Edit distances are taken many at a time from MANY on (more for long lines), of LETTERS different letters at most, with a table of that many bytes.
+MANY, LETTERS, TABLE = 24, 256, 1 << 25
+#: Pairs, and bytes of their lines, that are compared at once.
+PAIRS, PAIR_BYTES = 1 << 14, 1 << 24
 #: Rows of a bucket that meet in one task; larger buckets are found in one of SAMPLE lines.
 BLOCK, SAMPLE = 8192, 64
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-SCAN = "doc_id long, row_key long, line int, digest binary, size int, s0 long, s1 long, keys array<long>, t0 long, t1 long, keys2 array<long>"
+SCAN = "doc_id long, row_key long, line int, digest binary, v binary"
 ROWS = ["cell", "id", "size", "s0", "s1"]
+MARKED = "block long, id long, size int, s0 long, s1 long, mate long, parts long"
+#: A row of a bucket while it is dealt, packed: Spark moves runs of them by the part that their cell says, of PART rows about.
+ROW = [("key", "<u8"), ("id", "<i8"), ("s0", "<u8"), ("s1", "<u8"), ("size", "<i4")]
+PART, MOST_PARTS = 1 << 16, 1 << 14
+#: Packed rows that are dealt from memory at once.
+DEAL = 1 << 18
 
 
 
@@ -110,36 +119,64 @@ def _features(lines: list[bytes], k: int):
     h = span_hashes(buf, s, e)
     with np.errstate(over="ignore"):
         same = mix(h + owner.astype(U) * U(0x9E3779B97F4A7C15))
-        order = np.argsort(same, kind="stable")
-        begin = np.flatnonzero(np.concatenate([[True], np.diff(same[order]) != 0]))
-        nth = np.empty(len(h), np.int64)
-        nth[order] = np.arange(len(h)) - np.repeat(begin, np.diff(np.append(begin, len(h))))
-        h = mix(h + nth.astype(U) * U(0xC2B2AE3D27D4EB4F))
+        order = np.argsort(same)
+        # Most are alone; the others are counted in the order they stand in.
+        twin = same[order[1:]] == same[order[:-1]]
+        twins = order[np.append(twin, False) | np.concatenate([[False], twin])]
+        twins = np.sort(twins)
+        twins = twins[np.argsort(same[twins], kind="stable")]
+        begin = np.flatnonzero(np.concatenate([[True], np.diff(same[twins]) != 0])) if len(twins) else twins
+        nth = np.zeros(len(h), U)
+        nth[twins] = (np.arange(len(twins)) - np.repeat(begin, np.diff(np.append(begin, len(twins))))).astype(U)
+        h = mix(h + nth * U(0xC2B2AE3D27D4EB4F))
+    size = e - s
+    if not cut.any():
+        return h, size, owner
     keep = np.flatnonzero(~cut | ((h & U(3)) == 0))
     keep = keep[np.argsort(owner[keep], kind="stable")]
-    return h[keep], (e - s)[keep], owner[keep]
+    return h[keep], size[keep], owner[keep]
 
 
 def _majority(h, begin, weight=None):
-    """The SimHash of each run of hashes from `begin` on: a bit is set if it is in over half of the weight (1 to 4 each)."""
+    """The SimHash of each run of hashes (rows of h) from `begin` on: a bit is set if it is in over half of the weight (1 to 4 each).
+
+    64 counters stand in a few words, the n-th word holding their n-th bits; runs are added up in pairs of neighbours.
+    """
     import numpy as np
 
-    # The bits of a byte in a byte each: eight counters at a time, of 63 votes of 4 at most.
-    lanes = sum((np.arange(256, dtype=U) >> U(b) & U(1)) << U(8 * b) for b in range(8))
-    cuts = np.unique(np.concatenate([begin, np.arange(0, len(h), 63)])) if len(begin) and np.diff(np.append(begin, len(h))).max() > 63 else begin
-    back = np.searchsorted(cuts, begin)
-    total = np.diff(np.append(begin, len(h))) if weight is None else np.add.reduceat(weight, begin)
-    out = np.zeros((len(begin), 8), np.uint8)
-    parts = h.view(np.uint8).reshape(-1, 8)
-    for i in range(8):
-        votes = lanes[parts[:, i]]
-        if weight is not None:
-            votes *= weight.astype(U)
-        votes = np.add.reduceat(votes, cuts).view(np.uint8).reshape(-1, 8).astype(np.int64)
-        if len(cuts) > len(begin):
-            votes = np.add.reduceat(votes, back, axis=0)
-        out[:, i] = np.packbits(2 * votes > total[:, None], axis=1, bitorder="little")[:, 0]
-    return out.view(U).ravel()
+    zero, full = U(0), ~U(0)
+    length = np.diff(np.append(begin, h.shape[1]))
+    total = length if weight is None else np.add.reduceat(weight, begin) if len(begin) else length
+    planes = [h] if weight is None else [np.where(weight >> b & 1, h, zero) for b in range(3)]
+    out, place = np.zeros((len(h), len(begin)), U), np.arange(len(begin))
+    while len(place):
+        one = length == 1
+        if one.any():
+            at, half = begin[one], total[place[one]] >> 1
+            more, same = np.zeros((len(h), len(at)), U), np.full((len(h), len(at)), full)
+            for b in reversed(range(max(len(planes), int(half.max()).bit_length()))):
+                votes = planes[b].take(at, axis=1) if b < len(planes) else np.zeros((len(h), len(at)), U)
+                least = np.where(half >> b & 1, full, zero)
+                more |= same & votes & ~least
+                same &= ~(votes ^ least)
+            out[:, place[one]] = more
+            begin, length, place = begin[~one], length[~one], place[~one]
+            if not len(place):
+                break
+        pairs = (length + 1) >> 1
+        ends = np.cumsum(pairs)
+        left = 2 * np.arange(ends[-1]) + np.repeat(begin - 2 * (ends - pairs), pairs)
+        right, single = np.minimum(left + 1, planes[0].shape[1] - 1), (ends - 1)[(length & 1) == 1]
+        carry, added = None, []
+        for plane in planes:
+            x, y = plane.take(left, axis=1), plane.take(right, axis=1)
+            y[:, single] = zero
+            either, both = x ^ y, x & y
+            added.append(either if carry is None else either ^ carry)
+            carry = both if carry is None else both | (either & carry)
+        planes = [*added, carry] if carry.any() else added
+        begin, length = ends - pairs, pairs
+    return out
 
 
 def _deal(h, size, owner, c):
@@ -153,16 +190,17 @@ def _deal(h, size, owner, c):
         at = np.flatnonzero(((c >= 0) & (turn < TABLES // looked))[owner])
         if not len(at):
             break
-        place = (mix(h[at] + U(turn + 1)) >> U(33)).astype(np.int64) % blocks[owner[at]]
-        near = place < looked[owner[at]]
+        # Blocks are powers of two.
+        place = (mix(h[at] + U(turn + 1)) >> U(33)).astype(np.int64) & (blocks - 1)[owner[at]]
+        near = np.flatnonzero(place < looked[owner[at]])
+        # Features are in order of lines, so the runs of a line and block are whole after a sort of small numbers.
+        near = near[np.argsort(place[near].astype(np.uint8), kind="stable")]
         at, place = at[near], place[near]
         run = owner[at] * TABLES + place
-        order = np.argsort(run, kind="stable")
-        at, run = at[order], run[order]
         begin = np.flatnonzero(np.diff(run, prepend=-1) != 0)
         line = run[begin] // TABLES
         enough = np.add.reduceat(size[at], begin) >= least[line] if len(at) else np.zeros(0, bool)
-        value, line = _majority(h[at], begin)[enough] if len(at) else np.zeros(0, U), line[enough]
+        value, line = _majority(h[at][None], begin)[0][enough] if len(at) else np.zeros(0, U), line[enough]
         with np.errstate(over="ignore"):
             keys.append(mix(value + mix((run[begin][enough] % TABLES + turn * 64 + c[line] * 4096).astype(U))))
         owners.append(line)
@@ -176,7 +214,7 @@ def _whole(h, size, owner, n: int):
     out = np.zeros((2, n), U)
     if len(h):
         begin, weight = np.flatnonzero(np.diff(owner, prepend=-1) != 0), np.clip(size >> 2, 1, 4)
-        out[0][owner[begin]], out[1][owner[begin]] = _majority(h, begin, weight), _majority(mix(h), begin, weight)
+        out[:, owner[begin]] = _majority(np.stack([h, mix(h)]), begin, weight)
     return out
 
 
@@ -247,7 +285,7 @@ def similar(a: str, b: str, threshold: float) -> bool:
 
 def all_similar(a: list[str], b: list[str], threshold: float) -> list[bool]:
     """Of each pair, whether its edit similarity is at least the threshold; no line is similar to an empty one."""
-    out, rest = [False] * len(a), {}
+    out, rest = [False] * len(a), []
     for k, (x, y) in enumerate(zip(a, b)):
         longer, shorter = max(len(x), len(y)), min(len(x), len(y))
         most = (1 - threshold) * longer + 1e-9
@@ -256,61 +294,83 @@ def all_similar(a: list[str], b: list[str], threshold: float) -> list[bool]:
         x, y = trimmed(x, y)
         if at_most(x, y) <= most:
             out[k] = True
-        else:
+        elif abs(len(x) - len(y)) <= most:
             x, y = sorted((x, y), key=len)
-            rest.setdefault(-(-len(x) // 64), []).append((len(y), k, x, y, most))
-    for words, some in rest.items():
-        some.sort()
-        step = max(MANY, (1 << 18) // (64 * max(words, 1)))
-        for begin in range(0, len(some), step):
-            part = some[begin : begin + step]
-            if len(part) >= MANY and 0 < words <= WIDE:
-                far = _distances([r[2] for r in part], [r[3] for r in part], words).tolist()
-            else:
-                far = [edit_distance(r[2], r[3]) for r in part]
-            for r, d in zip(part, far):
-                out[r[1]] = d <= r[4]
+            rest.append((len(y), k, x, y, most))
+    rest.sort(key=lambda r: -r[0])
+    while rest:
+        # Pairs of like length, as many as the tables hold.
+        n = rest[0][0]
+        size = next((i for i, r in enumerate(rest) if 2 * r[0] < n), len(rest))
+        words = -(-max((len(r[2]) for r in rest[:size]), default=0) // 64)
+        size = min(size, max(1, TABLE // (8 * max(words, 1) * LETTERS)))
+        part, rest = rest[:size], rest[size:]
+        close = _within(part, words) if words and len(part) >= MANY + 8 * min(words, 2 + int(2 * max(r[4] for r in part)) // 64) else None
+        if close is None:
+            close = [edit_distance(r[2], r[3]) <= r[4] for r in part]
+        for r, ok in zip(part, close):
+            out[r[1]] = bool(ok)
     return out
 
 
-def _distances(short: list[str], long: list[str], words: int):
-    """Levenshtein distances of pairs whose first line has up to 64 * words characters, by Myers' bit vectors over all pairs at once."""
+def _within(pairs, words: int):
+    """Of (length of long, _, short, long, most), longest first, whether the edit distance is at most `most`; None with more than LETTERS letters.
+
+    Myers' bit vectors over all pairs at once, of the words that lie within the largest `most` of the diagonal: what
+    these leave out counts as one edit a step, so that distances up to it are right and others no smaller than they are.
+    """
     import numpy as np
 
-    def table(lines, width):
-        out = np.zeros((len(lines), width), np.uint32)
-        flat = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-        size = np.array([len(x) for x in lines])
-        at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-        out[np.repeat(np.arange(len(lines)), size), at] = flat + 1
-        return out, size
-
-    p, m = table(short, 64 * words)
-    t, n = table(long, max(map(len, long)))
-    if max(p.max(), t.max()) < 256:
-        p, t = p.astype(np.uint8), t.astype(np.uint8)
-    t = np.ascontiguousarray(t.T)
-    one, last, top = U(1), U(63), (m - 1 - 64 * (words - 1)).astype(U)
-    up, down = [np.full(len(m), ~U(0)) for _ in range(words)], [np.zeros(len(m), U) for _ in range(words)]
-    far = m.astype(np.int64)
+    p, q = (np.frombuffer("".join(r[i] for r in pairs).encode("utf-32-le", "surrogatepass"), np.uint32) for i in (2, 3))
+    letters = np.unique(np.concatenate([np.unique(p), np.unique(q)]))
+    if len(letters) > LETTERS:
+        return None
+    m, n = (np.array([len(r[i]) for r in pairs]) for i in (2, 3))
+    spread = [(np.repeat(np.arange(len(pairs)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)) for size in (m, n)]
+    (of, at), (owner, column) = spread
+    table = np.zeros((len(pairs) * len(letters), words), U)
+    np.add.at(table.ravel(), (of * len(letters) + np.searchsorted(letters, p)) * words + (at >> 6), U(1) << (at & 63).astype(U))
+    t = np.zeros((int(n[0]), len(pairs)), np.int32)
+    t[column, owner] = owner * len(letters) + np.searchsorted(letters, q)
+    most = np.array([r[4] for r in pairs])
+    band, live = int(most.max()) + 1, len(pairs)
+    ends = np.searchsorted(-n, -np.arange(1, len(t) + 1), side="right")
+    up, down = np.full((words, live), ~U(0)), np.zeros((words, live), U)
+    top, first, far = np.zeros(live, np.int64), 0, np.zeros(live, np.int64)
+    one, high = U(1), U(63)
     for k in range(len(t)):
-        match = np.ascontiguousarray(np.packbits(p == t[k][:, None], axis=1, bitorder="little").view(U).T)
+        if ends[k] < live:
+            # Texts that ended: the distance is the sum of the steps down their last column.
+            live = _last(far, up, down, top, first, m, int(ends[k]), live, k)
+        while first < words - 1 and 64 * (first + 1) <= k - band:
+            top[:live] += np.bitwise_count(up[first, :live]).astype(np.int64) - np.bitwise_count(down[first, :live])
+            first += 1
+        match = table[t[k, :live]].T
         rise_in, fall_in = one, U(0)
-        for w in range(words):
-            eq = match[w]
-            diag = eq | down[w]
+        for w in range(first, min(words, (k + band) // 64 + 1)):
+            eq, a, b = match[w], up[w, :live], down[w, :live]
+            diag = eq | b
             eq = eq | fall_in
-            over = (((eq & up[w]) + up[w]) ^ up[w]) | eq
-            rise, fall = down[w] | ~(over | up[w]), up[w] & over
-            if w == words - 1:
-                far += ((rise >> top & one) - (fall >> top & one)).view(np.int64) * (k < n)
-            else:
-                rise_out, fall_out = rise >> last, fall >> last
+            over = (((eq & a) + a) ^ a) | eq
+            rise, fall = b | ~(over | a), a & over
+            rise_out, fall_out = rise >> high, fall >> high
             rise, fall = rise << one | rise_in, fall << one | fall_in
-            if w < words - 1:
-                rise_in, fall_in = rise_out, fall_out
-            up[w], down[w] = fall | ~(diag | rise), rise & diag
-    return far
+            rise_in, fall_in = rise_out, fall_out
+            a[:], b[:] = fall | ~(diag | rise), rise & diag
+    _last(far, up, down, top, first, m, 0, live, len(t))
+    return far <= most
+
+
+def _last(far, up, down, top, first: int, m, begin: int, end: int, columns: int) -> int:
+    """Sets far of the pairs from begin to end, whose texts have that many columns."""
+    import numpy as np
+
+    far[begin:end] = top[begin:end] + columns
+    for w in range(first, len(up)):
+        mask = np.clip(m[begin:end] - 64 * w, 0, 64)
+        mask = np.where(mask == 64, ~U(0), (U(1) << np.minimum(mask, 63).astype(U)) - U(1))
+        far[begin:end] += np.bitwise_count(up[w, begin:end] & mask).astype(np.int64) - np.bitwise_count(down[w, begin:end] & mask)
+    return begin
 
 
 def _size(line: bytes) -> int:
@@ -324,12 +384,16 @@ def _digest(line: bytes) -> bytes:
 
 
 def _scan(threshold: float):
-    """A row of SCAN for each line that is not blank: its 128-bit digest, and keys and whole SimHash for its one or two classes."""
+    """A row of SCAN for each line that is not blank: its 128-bit digest, and (v) keys and whole SimHash for its one or two classes.
+
+    v holds words of 64 bits: size and numbers of keys, the whole SimHash, the keys; then the same for the second class, if it has keys.
+    """
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        hold()
         for batch in slices(batches, "text", SLICE):
             spots, place = [], {}
             for i, text in enumerate(batch.column(2).to_pylist()):
@@ -357,13 +421,19 @@ def _scan(threshold: float):
             first = np.zeros(len(of), bool)
             first[np.unique(of, return_index=True)[1]] = True
             digests = [_digest(x) for x in lines]
-            cols = [batch.column(0).take(pa.array(docs)), batch.column(1).take(pa.array(docs)), pa.array(nth, pa.int32()), pa.array([digests[k] for k in of], pa.binary()), pa.array(size[of], pa.int32())]
-            for _, _, whole, keys in sides:
-                line, key = (np.concatenate(v) for v in zip(*keys))
-                n = np.bincount(line, minlength=len(lines))
-                ends = np.concatenate([[0], np.cumsum(np.where(first, n[of], 0))]).astype(np.int32)
-                values = key[np.argsort(line, kind="stable")].view(np.int64)
-                cols += [pa.array(whole[0][of].view(np.int64)), pa.array(whole[1][of].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
+            cols = [batch.column(0).take(pa.array(docs)), batch.column(1).take(pa.array(docs)), pa.array(nth, pa.int32()), pa.array([digests[k] for k in of], pa.binary())]
+            found = [tuple(np.concatenate(v) for v in zip(*keys)) for _, _, _, keys in sides]
+            n, more = (np.bincount(line, minlength=len(lines)) for line, _ in found)
+            words = 3 + n + np.where(more > 0, 2 + more, 0)
+            at, v = np.cumsum(words) - words, np.zeros(words.sum(), np.int64)
+            v[at] = size | n << 40 | more << 48
+            for (line, key), (_, _, whole, _), begin, count in zip(found, sides, (at + 1, at + 3 + n), (n, more)):
+                has = count > 0 if begin[0] != 1 else np.ones(len(lines), bool)
+                for k in (0, 1):
+                    v[begin[has] + k] = whole[k][has].view(np.int64)
+                v[np.repeat(begin + 2 - (np.cumsum(count) - count), count) + np.arange(len(key))] = key[np.argsort(line, kind="stable")].view(np.int64)
+            ends = np.concatenate([[0], np.cumsum(np.where(first, 8 * words[of], 0))]).astype(np.int32)
+            cols.append(pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(ends), pa.py_buffer(v)]))
             yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SCAN.split(", ")])
 
     return run
@@ -417,24 +487,115 @@ def _candidates(g, threshold: float):
         lag += 1
 
 
-def _mates(threshold: float, all_rows: bool = False):
-    """Rows that have a candidate in their cell, with the nearest; with all_rows the others too."""
+def _unpacked_rows(ids, v):
+    """The rows (ROW) of lines, one for each key, from their ids and what _scan packed."""
+    import numpy as np
+    import pyarrow as pa
+
+    v = v.cast(pa.binary())
+    off = np.frombuffer(v.buffers()[1], np.int32)[v.offset : v.offset + len(v) + 1]
+    words, at = np.frombuffer(v.buffers()[2], np.uint8)[off[0] : off[-1]].view(np.int64), (off[:-1] - off[0]) // 8
+    head, ids = words[at], ids.to_numpy(zero_copy_only=False)
+    n, more = head >> 40 & 255, head >> 48
+    out = np.zeros(int(n.sum() + more.sum()), ROW)
+    done = 0
+    for begin, count in ((at + 1, n), (at + 3 + n, more)):
+        line = np.repeat(np.arange(len(ids)), count)
+        part = out[done : done + len(line)]
+        first = begin[line]
+        part["key"] = words[first + 2 + np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)].view(U)
+        part["s0"], part["s1"] = words[first].view(U), words[first + 1].view(U)
+        part["id"], part["size"] = ids[line], (head & ((1 << 40) - 1))[line]
+        done += len(line)
+    return out
+
+
+def _keys(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(_unpacked_rows(batch.column(0), batch.column(1))["key"].view("<i8"))], names=["block"])
+
+
+def _cells(rows, hot):
+    """(cell, parts of its bucket) of packed rows: buckets in hot (keys, parts) are dealt to cells by id."""
+    import numpy as np
+
+    cell, parts = rows["key"].copy(), np.ones(len(rows), np.int64)
+    if len(hot[0]):
+        at = np.minimum(np.searchsorted(hot[0], cell), len(hot[0]) - 1)
+        is_hot = np.flatnonzero(hot[0][at] == cell)
+        parts[is_hot] = hot[1][at[is_hot]]
+        with np.errstate(over="ignore"):
+            own = mix(mix(rows["id"][is_hot].astype(U)) + cell[is_hot]) % parts[is_hot].astype(U)
+            cell[is_hot] = mix(cell[is_hot] + mix(own + U(1)))
+    return cell, parts
+
+
+def _dealing(parts: int, turn: int, hot):
+    """Packed rows of the buckets of a turn, in runs by part."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def runs(waiting):
+            rows = np.concatenate(waiting)
+            part = (_cells(rows, hot)[0] >> U(32)).astype(np.int64) & (parts - 1)
+            rows = rows[np.argsort(part.astype(np.uint16), kind="stable")]
+            count = np.bincount(part, minlength=parts)
+            has = np.flatnonzero(count)
+            ends = np.concatenate([[0], np.cumsum(count[has] * rows.itemsize)]).astype(np.int32)
+            z = pa.Array.from_buffers(pa.binary(), len(has), [None, pa.py_buffer(ends), pa.py_buffer(rows.tobytes())])
+            return pa.RecordBatch.from_arrays([pa.array(has, pa.int32()), z], names=["part", "z"])
+
+        waiting, n = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = _unpacked_rows(batch.column(0), batch.column(1))
+            waiting.append(rows[rows["key"] % U(ROUNDS) == turn])
+            n += len(waiting[-1])
+            if n >= DEAL:
+                yield runs(waiting)
+                waiting, n = [], 0
+        if n:
+            yield runs(waiting)
+        give_back()
+
+    return run
+
+
+def _mates(threshold: float, hot):
+    """Rows that have a candidate in their cell, with the nearest, from packed rows sorted by part; of a bucket of several parts all."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for g in _runs(batches, ROWS):
+        for _, t in grouped(batches, "part"):
+            rows = np.frombuffer(b"".join(t.column("z").to_pylist()), ROW)
+            cell, parts = _cells(rows, hot)
+            order = np.argsort(cell)
+            # Most keys have one line only.
+            twin = cell[order[1:]] == cell[order[:-1]]
+            at = order[np.append(twin, False) | np.concatenate([[False], twin]) | (parts[order] > 1)]
+            at = at[np.lexsort((rows["id"][at], rows["size"][at], cell[at]))]
+            rows, parts = rows[at], parts[at]
+            g = {"cell": cell[at], **{c: np.ascontiguousarray(rows[c]) for c in ("id", "size", "s0", "s1")}}
             none = np.iinfo(np.int64).max
-            best = np.full(len(g["cell"]), none)
+            best = np.full(len(at), none)
             for i, j, far in _candidates(g, threshold):
                 best[i] = np.minimum(best[i], far << 48 | j)
                 best[j] = np.minimum(best[j], far << 48 | i)
             has = best < none
-            at = np.arange(len(has)) if all_rows else np.flatnonzero(has)
+            at = np.flatnonzero(has | (parts > 1))
             if len(at):
                 mate = pa.array(g["id"][np.where(has, best & ((1 << 48) - 1), 0)][at], mask=~has[at])
-                yield pa.RecordBatch.from_arrays([*(pa.array(g[c][at]) for c in ROWS), mate], names=[*ROWS, "mate"])
+                cols = [np.ascontiguousarray(rows["key"][at]).view(np.int64), g["id"][at], g["size"][at], g["s0"][at].view(np.int64), g["s1"][at].view(np.int64)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), mate, pa.array(parts[at])], names=[x.split()[0] for x in MARKED.split(", ")])
+        give_back()
 
     return run
 
@@ -443,9 +604,21 @@ def _verify(threshold: float):
     def run(batches):
         import pyarrow as pa
 
+        def similar_of(waiting):
+            t = pa.Table.from_batches(waiting)
+            ok = pa.array(all_similar(t.column(2).to_pylist(), t.column(3).to_pylist(), threshold), pa.bool_())
+            return pa.RecordBatch.from_arrays([t.column(i).filter(ok).combine_chunks() for i in (0, 1)], names=["a", "b"])
+
+        waiting, n, size = [], 0, 0
         for batch in batches:
-            ok = pa.array(all_similar(batch.column(2).to_pylist(), batch.column(3).to_pylist(), threshold), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+            waiting.append(batch)
+            n, size = n + batch.num_rows, size + batch.nbytes
+            if n >= PAIRS or size >= PAIR_BYTES:
+                yield similar_of(waiting)
+                waiting, n, size = [], 0, 0
+        if n:
+            yield similar_of(waiting)
+        give_back()
 
     return run
 
@@ -472,6 +645,15 @@ def _apart(threshold: float):
     return run
 
 
+def _key_set(v: bytes) -> frozenset:
+    """The keys that _scan packed."""
+    import numpy as np
+
+    words = np.frombuffer(v, np.int64)
+    n = int(words[0]) >> 40 & 255
+    return frozenset([*words[3 : 3 + n].tolist(), *words[5 + n :].tolist()])
+
+
 def _link(threshold: float):
     """Links of each cell between groups that no link of its cells has joined yet. A pair is looked at under the least key that both lines have."""
 
@@ -481,7 +663,7 @@ def _link(threshold: float):
 
         for t in _whole_cells(batches):
             g = {c: t.column(c).to_numpy() for c in APART}
-            text, keys = t.column("line"), [frozenset(k) for k in t.column("keys").to_pylist()]
+            text, keys = t.column("line"), [_key_set(v) for v in t.column("v").to_pylist()]
             block = g["block"].tolist()
             root = {x: x for x in g["comp"].tolist()}
 
@@ -495,6 +677,12 @@ def _link(threshold: float):
                 ends = [(find(a), find(b)) for a, b in zip(g["comp"][i].tolist(), g["comp"][j].tolist())]
                 left = np.array([a != b and min(keys[x] & keys[y]) == block[x] for (a, b), x, y in zip(ends, i.tolist(), j.tolist())], bool)
                 i, j = i[left], j[left]
+                upto = np.cumsum(g["size"][i].astype(np.int64) + g["size"][j])
+                cuts = np.searchsorted(upto, np.arange(PAIR_BYTES, upto[-1] if len(upto) else 0, PAIR_BYTES))
+                for some in zip(np.split(i, cuts), np.split(j, cuts)):
+                    yield from compared(*some)
+
+            def compared(i, j):
                 ok = np.array(all_similar(text.take(pa.array(i)).to_pylist(), text.take(pa.array(j)).to_pylist(), threshold), bool)
                 for x, y in zip(i[ok].tolist(), j[ok].tolist()):
                     a, b = find(int(g["comp"][x])), find(int(g["comp"][y]))
@@ -507,7 +695,7 @@ def _link(threshold: float):
                 ok = (g["comp"][i] != g["comp"][j]) & (g["home"][i] | g["home"][j])
                 waiting.append((i[ok], j[ok]))
                 n += ok.sum()
-                if n > 1000:
+                if n > PAIRS:
                     out += links(*(np.concatenate(x) for x in zip(*waiting)))
                     waiting, n = [], 0
             if n:
@@ -562,43 +750,36 @@ def _scanned(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(scan, lines): the lines of docs(doc_id, row_key, text) that are not blank, and the different ones with an id each."""
     scanned = materialize(docs.select("doc_id", "row_key", "text").mapInArrow(_scan(threshold), SCAN), "scan")
     # Of equal lines any that has its keys; they are the same in all that have.
-    once = F.max_by(F.struct("size", "s0", "s1", "keys", "t0", "t1", "keys2"), F.size("keys") + F.size("keys2")).alias("v")
-    lines = scanned.groupBy("digest").agg(F.min(F.struct("doc_id", "row_key", "line")).alias("first"), F.count("*").alias("n"), once)
+    lines = scanned.groupBy("digest").agg(F.min(F.struct("doc_id", "row_key", "line")).alias("first"), F.count("*").alias("n"), F.max_by("v", F.length("v")).alias("v"))
     # The ids are those of this one table; nothing computes them again.
-    return scanned, materialize(lines.select(F.monotonically_increasing_id().alias("id"), "digest", "first", "n", "v.*"), "lines")
-
-
-def _rows(lines: DataFrame) -> DataFrame:
-    """A row (block, id, size, s0, s1) for each key of each line."""
-    one = lines.select(F.explode("keys").alias("block"), "id", "size", "s0", "s1")
-    return one.unionByName(lines.filter(F.size("keys2") > 0).select(F.explode("keys2").alias("block"), "id", "size", F.col("t0").alias("s0"), F.col("t1").alias("s1")))
+    return scanned, materialize(lines.select(F.monotonically_increasing_id().alias("id"), "digest", "first", "n", "v"), "lines")
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition("cell").sortWithinPartitions("cell", "size", "id")
 
 
+def _hot(lines: DataFrame):
+    """(keys, parts), sorted, of buckets over BLOCK rows as a sample of the lines shows: at most a key for BLOCK / SAMPLE sampled rows."""
+    import numpy as np
+
+    few = lines.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("id", "v").mapInArrow(_keys, "block long")
+    hot = few.groupBy("block").agg(F.ceil(F.count("*") * SAMPLE / BLOCK).cast("long").alias("parts")).filter(F.col("parts") > 1).toArrow()
+    keys, parts = (hot.column(i).to_numpy().astype(kind) for i, kind in enumerate((np.int64, np.int64)))
+    order = np.argsort(keys.view(U))
+    return keys.view(U)[order], parts[order]
+
+
 def _marked(lines: DataFrame, threshold: float) -> DataFrame:
     """(block, id, size, s0, s1, mate, parts): rows that have a candidate, or that are in a bucket of several parts."""
     spark = lines.sparkSession
-    rows = _rows(lines)
-    few = _rows(lines.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0))
-    hot = few.groupBy("block").agg(F.ceil(F.count("*") * SAMPLE / BLOCK).cast("long").alias("parts")).filter(F.col("parts") > 1)
-    hot = materialize(hot, "hot")
-    schema = "cell long, id long, size int, s0 long, s1 long, mate long"
+    hot = _hot(lines)
+    rows = lines.count() * TABLES // ROUNDS
+    parts = min(max(16, 1 << (rows // PART).bit_length()), MOST_PARTS)
     out = None
-    if not hot.isEmpty():
-        hot = broadcast_if_small(hot)
-        # The part of a row follows from its id, so its bucket is found again by its own join.
-        big = rows.join(hot, "block").withColumn("cell", F.xxhash64("block", F.pmod(F.xxhash64("id", "block"), F.col("parts"))))
-        big = materialize(big.select("cell", "block", "parts", "id", "size", "s0", "s1"), "big")
-        rows = rows.join(hot, "block", "left_anti")
-        mates = _dealt(big.select(*ROWS)).mapInArrow(_mates(threshold, True), schema)
-        out = materialize(mates.join(big.select("cell", "block", "parts", "id"), ["cell", "id"]).select("block", "id", "size", "s0", "s1", "mate", "parts"), "marked")
     for r in range(ROUNDS):
-        m = _dealt(rows.filter(F.pmod("block", F.lit(ROUNDS)) == r).withColumnRenamed("block", "cell"))
-        m = m.mapInArrow(_mates(threshold), schema).select(F.col("cell").alias("block"), "id", "size", "s0", "s1", "mate", F.lit(1).cast("long").alias("parts"))
-        m = materialize(m, "marked")
+        dealt = lines.select("id", "v").mapInArrow(_dealing(parts, r, hot), "part int, z binary").repartition("part").sortWithinPartitions("part")
+        m = materialize(dealt.mapInArrow(_mates(threshold, hot), MARKED), "marked")
         out = m if out is None else out.unionByName(m)
         release(spark)
     return out
@@ -633,7 +814,7 @@ def _links(docs: DataFrame, lines: DataFrame, threshold: float) -> tuple[DataFra
     comp = materialize(connected_components(links), "comp")
     release(docs.sparkSession)
     left = materialize(_dealt(_second(marked, comp)).mapInArrow(_apart(threshold), "cell long, id long, size int, s0 long, s1 long, block long, comp long, home boolean"), "apart")
-    rest = materialize(_dealt(left.join(texts, "id").join(lines.select("id", F.concat("keys", "keys2").alias("keys")), "id").select(*APART, "line", "keys")).mapInArrow(_link(threshold), "a long, b long"), "links")
+    rest = materialize(_dealt(left.join(texts, "id").join(lines.select("id", "v"), "id").select(*APART, "line", "v")).mapInArrow(_link(threshold), "a long, b long"), "links")
     if not rest.isEmpty():
         links = links.unionByName(rest)
         comp = materialize(connected_components(links), "comp")

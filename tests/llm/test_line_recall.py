@@ -93,3 +93,41 @@ def test_blocks_hold_what_does_not_change():
         assert np.bitwise_count(whole ^ other).sum() <= ld.RADIUS
         far, _, _ = ld.simhash_blocks([" ".join(word() for _ in range(n)).encode()], c)
         assert np.bitwise_count(whole ^ far).sum() > ld.RADIUS
+
+
+def test_long_pairs_are_compared_many_at_a_time(monkeypatch):
+    """Pairs of long lines around the threshold, among them moved passages: as one by one, but in one go."""
+    rnd = random.Random(6)
+    text = lambda n: "".join(rnd.choice("abcdefghij é") for _ in range(n))
+    pairs = []
+    for _ in range(400):
+        n = rnd.choice((600, 640, 900))
+        a = text(n)
+        moved = rnd.randint(n // 20, n // 6)
+        pairs.append((a, text(moved) + a[: n - moved]) if rnd.random() < 0.5 else (a, "".join(c if rnd.random() > 0.22 else "x" for c in a)))
+    want = [ld.edit_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9 for a, b in pairs]
+    assert 50 < sum(want) < 350
+    alone = []
+    plain = ld.edit_distance
+    monkeypatch.setattr(ld, "edit_distance", lambda a, b: alone.append(1) or plain(a, b))
+    assert ld.all_similar(*zip(*pairs), 0.8) == want
+    assert len(alone) < 40
+
+
+def test_packed_rows_are_whole():
+    """Every key of every line is dealt, once, with the size and SimHash of its class."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [f"{' '.join(f'word{(i * j) % 37}' for j in range(i + 1))}\nshort {i}\n\nshort {i}" for i in range(30)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array(range(30)), pa.array(texts)], names=["doc_id", "row_key", "text"])
+    t = pa.Table.from_batches(list(ld._scan(0.8)([batch])))
+    t = t.filter(pa.array([len(v) > 0 for v in t.column("v").to_pylist()])).combine_chunks()
+    ids = pa.array(range(t.num_rows))
+    rows = ld._unpacked_rows(ids, t.column("v").chunk(0))
+    want = [(i, k) for i, v in enumerate(t.column("v").to_pylist()) for k in ld._key_set(v)]
+    assert sorted(zip(rows["id"].tolist(), rows["key"].view(np.int64).tolist())) == sorted(want) and len(want) > 200
+    hot = np.sort(rows["key"][:3]), np.array([2, 3, 2])
+    batch = pa.RecordBatch.from_arrays([ids, t.column("v").chunk(0)], names=["id", "v"])
+    dealt = [z for turn in range(ld.ROUNDS) for b in ld._dealing(16, turn, hot)([batch]) for z in b.column("z").to_pylist()]
+    assert sorted(np.frombuffer(b"".join(dealt), ld.ROW).tolist()) == sorted(rows.tolist())
