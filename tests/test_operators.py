@@ -229,3 +229,74 @@ def test_copies_write_no_grams(spark, monkeypatch):
     df = joins.copied_units(spark.createDataFrame([(d, 0, t) for d, t in enumerate(texts)], "doc_id long, block_no int, text string"))
     assert {(r["a_doc"], r["b_doc"]) for r in df.collect()} == want and len(want) > 100
     assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _small_words(rnd, size):
+    """A text of a few syllables, as real languages have them: its 5-grams are in most others."""
+    out = ""
+    while len(out) < size:
+        out += rnd.choice(["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it"]) + rnd.choice(["", "", " "])
+    return out
+
+
+def test_copies_look_at_few_texts_of_common_grams(monkeypatch):
+    """Texts that share their grams but no passages cost few rows per character, however many texts hold a gram."""
+    import random
+    from types import SimpleNamespace as Held
+
+    import numpy as np
+    import pyarrow as pa
+
+    from attestor.operators import copies
+
+    rnd = random.Random(5)
+    texts = [_small_words(rnd, rnd.randint(60, 300)) for _ in range(2_000)]
+    texts.append(texts[7][3:] + "more")
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["uid", "text"])
+    counts = np.zeros(1 << copies.PLACES, np.uint16)
+    index = copies._entries(pa.Table.from_batches(list(copies._groups(5, Held(value=counts), 0.1)([rows]))))
+    looked, spread = [], copies._spread
+    monkeypatch.setattr(copies, "_spread", lambda first, sizes: looked.append(int(np.sum(sizes))) or spread(first, sizes))
+    pairs = {p for b in copies._match(5, "test", [Held(value=index)])([rows]) for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist())}
+    grams = [{t[i : i + 5] for i in range(len(t) - 4)} for t in texts]
+    assert (7, 2_000) in pairs and all(len(grams[a] & grams[b]) > 0.7 * len(grams[a]) for a, b in pairs)
+    # A lookup of the rarest single grams: this many texts for each group.
+    df = {}
+    for g in grams:
+        for x in g:
+            df[x] = df.get(x, 0) + 1
+    single = sum(sum(sorted(df[x] for x in g)[: len(g) // 10 + 1]) for g in grams)
+    assert sum(looked) < single
+
+
+def test_copies_across_places(spark, tmp_path):
+    """Grams of a text may stand in the other one in any places; texts with too many runs of them are looked up by single grams."""
+    import random
+
+    from attestor.operators import copies
+    from attestor.plans import joins as plans
+
+    rnd = random.Random(9)
+    pieces = lambda t: "|".join(t[i : i + 8] for i in range(0, len(t) - 4, 4))
+    base = [_small_words(rnd, 90) for _ in range(12)]
+    base += ["".join(rnd.choice("ab") for _ in range(40)) for _ in range(6)] + ["".join(rnd.choice("012") for _ in range(n)) for n in (3_000, 60, 40)] + ["ha " * 30, "ha " * 31 + "é😀 end", "x" * 40]
+    texts = base + [pieces(t) for t in base[:18]] + [t[:50] + t[40:] for t in base[:12]] + [t + "\n" + t for t in base[:4]]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    oracle.same(plans.copied_sentences(spark, str(tmp_path)), duck, plans.R.sql["copied_sentences"])
+    # All runs of a text, against a walk over its grams.
+    for t in (base[0], pieces(base[0]), base[12], "x" * 40, base[18]):
+        u, left, short, h = copies._hashed([t], 5)
+        keys, _, over = copies._across(u, left, short, h, 5, 1)
+        assert over[0] == (t == base[18])
+        if over[0]:
+            continue
+        at = {t[i : i + 5]: i for i in range(len(t) - 4)}
+        runs = [[g] for g in at]
+        for _ in range(copies.RUN - 1):
+            runs = [[*r, g] for r in runs for g in at if g[:4] == r[-1][1:]]
+        want = {int(copies._key(h[[at[r[0]]]], h[[at[r[-1]]]])[0]) for r in runs}
+        got = {int(x) for x in keys} | {int(x) for x in copies._key(h[: len(t) - 7], h[3 : len(t) - 4])}
+        assert got == want
